@@ -1,8 +1,13 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from quillspark.llm import shards, url_rules
+from quillspark.llm import mixing, packing, secrets, shards, token_counts, toxicity, url_rules
 
 QUERIES = {
+    "op4_sequence_packing": packing.op4_sequence_packing,
+    "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_secret_scans": secrets.op6_secret_scans,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filters": url_rules.op9_url_filters,
     "op10_sharding": shards.op10_sharding,
 }
