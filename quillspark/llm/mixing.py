@@ -101,5 +101,24 @@ def mix(
     )
 
 
+def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """The mix as rows of documents: a row for each whole copy, and one of the remaining words, if any.
+
+    Rows of one id all get the copies of the first of them.
+    """
+    take = mix(spark, docs, **how).where("taken > 0").select(F.col("doc_id").alias("take_id"), "size", "passes", "begins", "more").dropDuplicates(["take_id"])
+    copies = F.concat(F.array_repeat(F.lit(False), F.col("passes").cast("int")), F.when(F.col("more") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    rows = docs.join(take, F.col("doc_id").eqNullSafe(F.col("take_id"))).select("*", F.explode(copies).alias("partial"))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    begins, more = F.col("begins").cast("int"), F.col("more").cast("int")
+    # the words from begins on, and what passes the end from the start on
+    part = F.concat(F.slice(words, begins + 1, more), F.slice(words, F.lit(1), F.greatest(F.lit(0), begins + more - F.col("size").cast("int"))))
+    text = F.when(F.col("partial") & (F.col("more") < F.col("size")), F.array_join(part, "")).otherwise(F.col("text"))
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")

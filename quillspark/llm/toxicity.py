@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.batches import pieces
 
@@ -144,8 +145,8 @@ def fit(features: list[np.ndarray], forms: np.ndarray, label: np.ndarray) -> tup
     return used, weight, float(bias)
 
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """id, held_out, score, predicted of each whole text."""
+def with_score(spark: SparkSession, docs: DataFrame, labels: DataFrame, name: str = "score", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows and columns of docs, and the score of each whole text under a name that docs doesn't have."""
     model = fit(*teach(spark, docs, labels, id_col, text_col, label_col))
 
     def run(batches):
@@ -157,12 +158,24 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
         for batch, texts in pieces(batches, text_col):
             z = np.array([sum(map(weights.__getitem__, features(t))) for t in texts], dtype=float) if model else np.zeros(len(texts))
             p = 1 / (1 + np.exp(-np.clip(z + model[2], -30, 30))) if model else z
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(p, pa.float64())], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """id, held_out, score, predicted of each whole text."""
+    out = with_score(spark, docs.select(id_col, text_col), labels, "score", id_col, text_col, label_col)
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are not predicted to be toxic, with the same columns."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return with_score(spark, docs, labels, name).where(F.col(name) < 0.5).drop(name)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
