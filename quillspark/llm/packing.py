@@ -13,7 +13,7 @@ Defined cases: null and empty texts are the closing id alone; a document longer
 packed each; an empty table gives no rows.
 """
 
-import re
+import base64
 import zlib
 from collections import deque
 
@@ -29,56 +29,39 @@ STRETCH = 262_144
 AT_SENTENCE, INSIDE, SHORT = 1.0, 8.0, 6.0
 #: Longest stretch without a boundary, and the distance of the cuts put into a longer one.
 GAP, STEP = 32, 16
-MEMO = 250_000
-SPACE_BEFORE_SPACE = re.compile(r"\s ")
 
 
-class ChunkEncoder:
-    """Ids of a byte-level tokenizer, by chunks that start at a space; a chunk's ids don't depend on its neighbours."""
+class Encoder:
+    """Ids of a byte-level tokenizer, and where sentences end.
 
-    def __init__(self, path: str):
+    The tokenizer's vocabulary as ranks gives the same ids faster; texts that hold a special string go through the
+    tokenizer itself, which knows it.
+    """
+
+    def __init__(self, path: str, ranks: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, tuple[bytes, int, bool]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, chunks: set[str]) -> None:
-        new = list(chunks.difference(self.memo))
-        if new:
-            self.memo.update((c, (ids.tobytes(), len(ids), c[-1:] in ".!?\n" or "\n" in c)) for c, ids in zip(new, self.encode(new)))
-
-    def lines(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its ids, and the places after which a sentence ends."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        cut: list[list[str] | None] = []
-        seen: set[str] = set()
-        for t in texts:
-            if SPACE_BEFORE_SPACE.search(t) or any(x in t for x in self.special):
-                cut.append(None)
-                continue
-            chunks = t.replace(" ", "\0 ").split("\0") if "\0" not in t else re.findall("^[^ ]*| [^ ]*", t)
-            seen.update(chunks)
-            cut.append(chunks)
-        seen.discard("")
-        self.memo[""] = (b"", 0, False)
-        self.learn(seen)
-        get, out = self.memo.__getitem__, []
-        for t, chunks in zip(texts, cut):
-            if chunks is None:
-                # the whole text at once; sentence ends by their places in the text
-                whole = self.tokenizer.encode(t, add_special_tokens=False)
-                ends = {m.end() for m in re.finditer(r"[.!?](?=\s)|\n", t)}
-                out.append((np.array(whole.ids, dtype=np.uint32), np.array([k + 1 for k, (_, b) in enumerate(whole.offsets) if b in ends], dtype=np.int64)))
-                continue
-            ids, sizes, flags = zip(*map(get, chunks))
-            ends = np.cumsum(np.fromiter(sizes, dtype=np.int64, count=len(sizes)))
-            out.append((np.frombuffer(b"".join(ids), dtype=np.uint32), ends[np.fromiter(flags, dtype=bool, count=len(flags))]))
-        return out
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        size = self.tokenizer.get_vocab_size()
+        self.breaks, self.ends, self.spaced = (np.zeros(size, dtype=bool) for _ in range(3))
+        for token, i in table.items():
+            self.breaks[i], self.ends[i], self.spaced[i] = b"\n" in token, token[-1:] in b".!?", token[:1] in b" \n\t\r"
+
+    def line(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text, and the places after which a sentence or a line ends."""
+        if any(x in text for x in self.special):
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        else:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        if not len(ids):
+            return ids, np.zeros(0, dtype=np.int64)
+        return ids, np.flatnonzero(self.breaks[ids] | self.ends[ids] & np.r_[self.spaced[ids[1:]], True]) + 1
 
 
 def best_cuts(places: list[int], penalty: list[float], width: int, last: bool) -> list[int]:
@@ -162,10 +145,10 @@ class Line:
         return out
 
 
-encoder = per_process(lambda name: ChunkEncoder(tokenizer_path(name)))
+encoder = per_process(lambda name, ranks: Encoder(tokenizer_path(name), tokenizer_path(ranks)))
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", width: int = 1024, closing: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", width: int = 1024, closing: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -173,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", width: int = 102
     def run(batches):
         line = Line(width, TaskContext.get().partitionId() << 40)
         end = np.array([closing], dtype=np.uint32)
-        key_type = None
+        key_type, encode = None, encoder(tokenizer, ranks).line
 
         def rows(found):
             if not found:
@@ -183,7 +166,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", width: int = 102
 
         for batch, texts in pieces(batches, text_col):
             key_type = batch.schema.field(id_col).type
-            for doc_id, (ids, ends) in zip(batch.column(id_col).to_pylist(), encoder(tokenizer).lines(texts)):
+            for doc_id, text in zip(batch.column(id_col).to_pylist(), texts):
+                ids, ends = encode(text)
                 line.add(doc_id, np.concatenate([ids, end]), ends)
                 if line.held >= STRETCH:
                     yield from rows(line.flush(False))
