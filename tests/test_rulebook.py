@@ -105,7 +105,7 @@ def test_searches(book):
     assert found(book.search_personnel_policy("overtime")) == {("titles", "I-1.1"), ("text", "p:2")}
     assert {r["origin"] for r in book.search_all("noise").collect()} == {"ordinance", "town_code"}
     assert [(r["lineno"], r["n_more"]) for r in book.search_statutes("ZONING power").collect()] == [(3, 0)]
-    assert [r["lineno"] for r in book.search_statutes("board power").collect()] == [3, 4]
+    assert sorted(r["lineno"] for r in book.search_statutes("board power").collect()) == [3, 4]
     with pytest.raises(ValueError):
         book.search_statutes(" ")
 
