@@ -32,24 +32,33 @@ ANCHORS = (
 MARK = "\u0001"
 
 
+def _anchor_pattern() -> str:
+    """The anchors by first letter, so that a word is tried against few of them."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(ANCHORS)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items())
+
+
 def marked_words(text: Column) -> Column:
-    """The content words of a text; one that follows an anchor starts with MARK."""
-    s = F.concat(F.lit(MARK + " "), F.regexp_replace(F.lower(F.translate(text, MARK, " ")), r"[.!?\r\n]+", f" {MARK} "))
-    s = F.regexp_replace(s, rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(set(ANCHORS)))})(?![\p{{L}}\p{{N}}])", MARK)
+    """The content words of a text; one that follows an anchor starts with MARK. Without words, the marked text itself."""
+    s = F.regexp_replace(F.lower(F.replace(text, F.lit(MARK), F.lit(" "))), r"[.!?\r\n]+", f" {MARK} ")
     s = F.regexp_replace(s, rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
+    s = F.regexp_replace(F.concat(F.lit(f" {MARK} "), s, F.lit(" ")), f" (?:{_anchor_pattern()})(?= )", f" {MARK}")
     s = F.regexp_replace(s, f"{MARK}[ {MARK}]*", MARK)
-    return F.split(s, " ")
+    words = F.filter(F.split(s, " "), lambda w: (w != "") & (w != MARK))
+    # the lambda's argument is computed once, however often it is read
+    either = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, w).when(text != "", F.array(F.concat(F.lit(MARK), text))).otherwise(w))
+    return F.element_at(either, 1)
 
 
-def signatures(words: Column, text: Column) -> Column:
+def signatures(words: Column) -> Column:
     """Sorted distinct hashes; words: a column that is computed already, as it is read several times."""
-    words = F.filter(words, lambda w: (w != "") & (w != MARK))
     n = F.lit(1 << 30)
     columns = [words, *(F.slice(words, F.lit(k + 1), n) for k in range(1, CHAIN))]
     plain = lambda w: F.ltrim(w, F.lit(MARK))
     chains = F.filter(F.arrays_zip(*(c.alias(f"w{k}") for k, c in enumerate(columns))), lambda z: F.startswith(z["w0"], F.lit(MARK)))
-    found = F.sort_array(F.array_distinct(F.transform(chains, lambda z: F.hash(*(plain(z[f"w{k}"]) for k in range(CHAIN))))))
-    return F.when(F.size(found) > 0, found).when(text != "", F.array(F.hash(text))).otherwise(F.array().cast("array<int>"))
+    return F.sort_array(F.array_distinct(F.transform(chains, lambda z: F.hash(*(plain(z[f"w{k}"]) for k in range(CHAIN))))))
 
 
 def spelled(sigs: Column) -> Column:
@@ -91,7 +100,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     # explode() of one row keeps what was computed from being computed again for each use
     rows = rows.select("doc_id", "place", "part", "ghost", "text", n.cast("long").alias("n_chars"), F.explode(F.array(F.struct(edited.alias("edited"), marked_words(F.col("text")).alias("words"), marked_words(edited).alias("edited_words")))).alias("u"))
-    rows = rows.select("doc_id", "place", "part", "ghost", "text", "n_chars", F.sha2("u.edited", 256).alias("edited_sha256"), signatures(F.col("u.words"), F.col("text")).alias("sigs"), signatures(F.col("u.edited_words"), F.col("u.edited")).alias("edited_sigs"))
+    rows = rows.select("doc_id", "place", "part", "ghost", "text", "n_chars", F.sha2("u.edited", 256).alias("edited_sha256"), signatures(F.col("u.words")).alias("sigs"), signatures(F.col("u.edited_words")).alias("edited_sigs"))
     rows = rows.withColumn("next_sigs", F.lead("sigs").over(order)).where(~F.col("ghost"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", spelled(F.col("sigs")).alias("fingerprint"), spelled(F.col("edited_sigs")).alias("edited_fingerprint"),
