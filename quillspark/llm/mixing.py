@@ -111,9 +111,10 @@ def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     rows = docs.join(take, F.col("doc_id").eqNullSafe(F.col("take_id"))).select("*", F.explode(copies).alias("partial"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     begins, more = F.col("begins").cast("int"), F.col("more").cast("int")
-    # the words from begins on, and what passes the end from the start on
-    part = F.concat(F.slice(words, begins + 1, more), F.slice(words, F.lit(1), F.greatest(F.lit(0), begins + more - F.col("size").cast("int"))))
-    text = F.when(F.col("partial") & (F.col("more") < F.col("size")), F.array_join(part, "")).otherwise(F.col("text"))
+    # the words from begins on, and on a line of its own what passes the end, from the start on
+    over = F.greatest(F.lit(0), begins + more - F.col("size").cast("int"))
+    part = F.concat(F.array_join(F.slice(words, begins + 1, more), ""), F.when(over > 0, F.concat(F.lit("\n"), F.array_join(F.slice(words, F.lit(1), over), ""))).otherwise(F.lit("")))
+    text = F.when(F.col("partial") & (F.col("more") < F.col("size")), part).otherwise(F.col("text"))
     out = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
