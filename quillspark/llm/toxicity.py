@@ -23,9 +23,9 @@ from quillspark.llm.batches import pieces
 
 #: Bounds of the fit: labelled rows, hashed features, features that voters and weights may use.
 SAMPLE_ROWS, BUCKETS, USED = 24_000, 1 << 20, 6_000
-VOTERS = 16
-#: A feature speaks for toxicity from this many toxic rows and this log ratio of its rates on.
-LEAST_ROWS, LEAST_RATIO = 3, 1.6
+VOTERS, PATTERNS = 16, 3
+#: A feature speaks for toxicity from this many toxic rows, this share of them, and this log ratio of its rates on.
+LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 3, 0.008, 3.0
 STRIP = ".,;:!?\"'()[]{}<>*_-"
 BEGINNINGS = (4, 5)
 ROUNDS, STEPS, RIDGE = 12, 120, 2e-4
@@ -90,7 +90,7 @@ def teach(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str,
     f = pa.concat_arrays(f.chunks) if isinstance(f, pa.ChunkedArray) else f
     sizes = np.diff(f.offsets.to_numpy())
     flat = f.values.to_numpy()[f.offsets[0].as_py() :] if len(f) else np.zeros(0, dtype=np.int32)
-    return [flat, sizes], np.array(rows.column("p").to_pylist(), dtype=bool).reshape(len(sizes), -1), (rows.column("y").to_numpy() > 0)
+    return [flat, sizes], np.array(rows.column("p").to_pylist(), dtype=bool).reshape(len(sizes), PATTERNS), (rows.column("y").to_numpy() > 0)
 
 
 def label_model(votes: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def fit(features: list[np.ndarray], forms: np.ndarray, label: np.ndarray) -> tup
     row = np.repeat(np.arange(len(sizes)), sizes)
     toxic, rest = np.bincount(flat[label[row]], minlength=BUCKETS), np.bincount(flat[~label[row]], minlength=BUCKETS)
     ratio = np.log((toxic + 0.3) / (label.sum() + 1)) - np.log((rest + 0.3) / ((~label).sum() + 1))
-    able = np.flatnonzero((toxic >= LEAST_ROWS) & (ratio >= LEAST_RATIO))
+    able = np.flatnonzero((toxic >= max(LEAST_ROWS, LEAST_SHARE * label.sum())) & (ratio >= LEAST_RATIO))
     used = np.sort(able[np.argsort(-(ratio * np.sqrt(toxic))[able], kind="stable")[:USED]])
     if not len(used):
         return None
