@@ -6,10 +6,13 @@ state back to the start; the lanes advance together, so that each byte is looked
 accepting state appears, a second automaton, of the reversed rule, walks back to the leftmost start.
 
 A rule must end in a fixed text or in a repeated class, so that a match ends where its accepting states end. Matches
-of a rule are leftmost and do not overlap; those of different rules may.
+of a rule are leftmost and do not overlap; those of different rules may. Where a match has taken the beginning of what
+the automaton still follows, it goes on from its start state behind that match until both runs agree again; as it
+never turns back, no byte is looked up more than twice and once for each rule that matches there.
 
-Defined cases: null and empty texts hold nothing (n_* 0, spans empty); texts have any length; repeated rows and extra
-columns don't matter; an empty table gives no rows.
+Defined cases: null and empty texts hold nothing (n_* 0, spans empty); texts have any length, and time grows with it in
+proportion; equal starts are listed in the order of the rules; repeated rows are scanned each; extra columns don't
+matter, whatever their names; an empty table gives no rows.
 """
 
 import hashlib
@@ -151,30 +154,62 @@ class Automaton:
         order = np.unique(group, return_index=True)[1]
         at = np.argsort(np.argsort(np.where(group[order] == group[0], -1, order)))
         group, order = at[group], order[np.argsort(at)]
-        self.table = group[table[order]].astype(np.uint16)
-        self.accepts = accepts[order].astype(np.uint8)
+        self.table = group[table[order]].astype(np.int32)
+        self.accepts = accepts[order]
+        #: The same by plain byte, for steps that are taken one at a time.
+        self.rows: list[list[int]] = self.table[:, self.class_of].tolist()
         self.dead = next((k for k in range(len(order)) if not self.accepts[k] and (self.table[k] == k).all()), -1) if not search else -1
 
 
 class Scanner:
-    LANE = 1024
+    """All rules in one automaton; more than MOST of them in several."""
+
+    LANE, MOST = 1024, 62
 
     def __init__(self, rules: tuple[SecretRule, ...] = RULES):
-        if len(rules) > 8:
-            raise ValueError("at most 8 rules to an automaton")
-        self.rules, self.all = rules, Automaton(rules)
+        self.rules = rules
+        self.parts = [_Part(rules[k : k + self.MOST], k) for k in range(0, len(rules), self.MOST)]
+
+    def scan(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """(kind, start, end) in code points for each text, by start, then kind as listed."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"\n".join(raw)
+        begins = np.cumsum([0, *(len(x) + 1 for x in raw)])
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        for part in self.parts:
+            states = part.states(data)
+            bits = part.all.accepts[states]
+            for d in np.unique(np.searchsorted(begins, np.flatnonzero(bits), side="right") - 1).tolist():
+                a, b = begins[d], begins[d] + len(raw[d])
+                found[d] += part.matches(raw[d], states[a:b], bits[a:b])
+        out = []
+        for text, own, spans in zip(texts, raw, found):
+            if spans and len(own) != len(text):
+                # code points up to each byte
+                upto = np.r_[0, np.cumsum((np.frombuffer(own, dtype=np.uint8) & 0xC0) != 0x80)]
+                spans = [(int(upto[a]), k, int(upto[b])) for a, k, b in spans]
+            out.append([(self.rules[k].kind, a, b) for a, k, b in sorted(spans)])
+        return out
+
+
+class _Part:
+    """The automaton of some rules; first is the place of the first of them."""
+
+    def __init__(self, rules: tuple[SecretRule, ...], first: int):
+        self.rules, self.first, self.all = rules, first, Automaton(rules)
         self.back = [Automaton((r,), back=True, search=False) for r in rules]
-        home = (self.all.table == 0).all(axis=0)[self.all.class_of]
-        if not home[10]:
+        self.home = (self.all.table == 0).all(axis=0)[self.all.class_of]
+        if not self.home[10]:
             raise ValueError("a rule crosses line breaks")
-        self.home = home
 
     def states(self, data: bytes) -> np.ndarray:
         """The state after each byte; data starts at the start state."""
         buf = np.frombuffer(data, dtype=np.uint8)
-        out = np.empty(len(buf), dtype=np.uint16)
+        out = np.empty(len(buf), dtype=np.int32)
+        if not len(buf):
+            return out
         resets = np.flatnonzero(self.home[buf]) + 1
-        marks = np.arange(self.LANE, len(buf), self.LANE)
+        marks = np.arange(Scanner.LANE, len(buf), Scanner.LANE)
         at = np.searchsorted(resets, marks)
         begins = np.unique(np.r_[0, resets[at[at < len(resets)]]])
         begins = begins[begins < len(buf)]
@@ -183,7 +218,9 @@ class Scanner:
         begins, sizes = begins[order], sizes[order]
         classes, table, width = self.all.class_of[buf], self.all.table.ravel(), self.all.table.shape[1]
         state = np.zeros(len(begins), dtype=np.int32)
-        alive = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left").tolist()
+        # lanes in lockstep while there are many, the rest of the long ones one by one
+        together = int(sizes[min(len(sizes) - 1, 24)]) if len(sizes) > 24 else 0
+        alive = np.searchsorted(-sizes, -np.arange(together), side="left").tolist()
         pos = begins.copy()
         for n in alive:
             p = pos[:n]
@@ -191,6 +228,10 @@ class Scanner:
             out[p] = s
             state[:n] = s
             p += 1
+        view, rows = memoryview(out), self.all.rows
+        for begin, size, s in zip(begins.tolist(), sizes.tolist(), state.tolist()):
+            for p in range(begin + together, begin + size):
+                view[p] = s = rows[s][data[p]]
         return out
 
     @staticmethod
@@ -201,46 +242,60 @@ class Scanner:
     def start_of(self, k: int, data: bytes, at: int, floor: int) -> int:
         """The leftmost start, not before floor, of a match of rule k whose first accepting byte is at; -1 if none."""
         auto, state, found = self.back[k], 0, -1
+        rows, accepts, dead = auto.rows, auto.accepts, auto.dead
         for p in range(at, floor - 1, -1):
-            state = int(auto.table[state, auto.class_of[data[p]]])
-            if state == auto.dead:
+            state = rows[state][data[p]]
+            if state == dead:
                 break
-            if auto.accepts[state]:
+            if accepts[state]:
                 found = p
         return found
 
-    def matches(self, k: int, data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Leftmost matches of rule k that do not overlap; runs: where the automaton accepts it."""
-        out, floor, queue = [], 0, list(runs)[::-1]
-        while queue:
-            a, b = queue.pop()
+    def matches(self, data: bytes, states: np.ndarray, bits: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, rule, end) of the leftmost matches of each rule that do not overlap."""
+        out = []
+        for k in range(len(self.rules)):
+            if runs := self.runs(bits >> k & 1):
+                out += [(a, self.first + k, b) for a, b in self.of_rule(k, data, memoryview(states), runs)]
+        return out
+
+    def of_rule(self, k: int, data: bytes, states: memoryview, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """runs: where the first pass accepts rule k."""
+        out, floor, i, least = [], 0, 0, self.rules[k].least_tail
+
+        def take(first: int, end: int) -> None:
+            if end - first >= least:
+                out.append((self.start_of(k, data, first, floor), end))
+
+        accepts, rows, n = [bool(x >> k & 1) for x in self.all.accepts.tolist()], self.all.rows, len(data)
+        while i < len(runs):
+            a, b = runs[i]
+            i += 1
             if a < floor:
                 continue
-            start = self.start_of(k, data, a, floor)
-            if start < 0:
-                # it began inside the last match: what stands from there on is read afresh
-                fresh = self.runs(self.all.accepts[self.states(data[floor:])] >> k & 1)
-                queue = [(x + floor, y + floor) for x, y in fresh][::-1]
+            if self.start_of(k, data, a, floor) >= 0:
+                take(a, b)
+                floor = b
                 continue
-            if b - a >= self.rules[k].least_tail:
-                out.append((start, b))
-            floor = b
-        return out
-
-    def scan(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        """(kind, start, end) in code points for each text, by start, then kind as listed."""
-        raw = [t.encode() for t in texts]
-        data = b"\n".join(raw)
-        begins = np.cumsum([0, *(len(x) + 1 for x in raw)])
-        bits = self.all.accepts[self.states(data)] if data else np.zeros(0, dtype=np.uint8)
-        hits = np.flatnonzero(bits)
-        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        for d in np.unique(np.searchsorted(begins, hits, side="right") - 1).tolist():
-            own, text, found = bits[begins[d] : begins[d] + len(raw[d])], raw[d], []
-            for k, rule in enumerate(self.rules):
-                found += [(a, k, b, rule.kind) for a, b in self.matches(k, text, self.runs(own >> k & 1))]
-            place = (lambda p: p) if len(text) == len(texts[d]) else (lambda p, t=text: len(t[:p].decode()))
-            out[d] = [(kind, place(a), place(b)) for a, _, b, kind in sorted(found)]
+            # what is accepted here began inside the last match: read on from the start state behind that match
+            state, p, first = 0, floor, -1
+            while p < n:
+                state = rows[state][data[p]]
+                if accepts[state]:
+                    first = p if first < 0 else first
+                elif first >= 0:
+                    take(first, p)
+                    floor, state, first = p, 0, -1
+                    continue
+                if state == states[p]:
+                    break
+                p += 1
+            while i < len(runs) and runs[i][0] <= p:
+                i += 1
+            if first >= 0:
+                end = n if p >= n else runs[i - 1][1]
+                take(first, end)
+                floor = end
         return out
 
 
@@ -292,3 +347,29 @@ def mask_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, text_co
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _oracle() -> str:
+    """Matches by the whole expressions; what stands between matches gives their places."""
+    # letters in either case are written out, as (?i) would also take letters beyond ASCII
+    assign = "((?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)"""
+    # group 1 and the match itself tell the length that a match must have
+    rules = [("assign", assign, 6), *((r.kind, "()(" + r.pattern.split("{")[0] + ("+)" if "{" in r.pattern else ")"), 24 if r.kind == "hex" else 0) for r in RULES[1:])]
+    least = {"access": 20, "github": 40, "slack": 21}
+    found = " union all ".join(
+        f"select doc_id, {k} as k, '{kind}' as kind, {least.get(kind, n)} as least, regexp_extract_all(x, '{p}') as m, regexp_extract_all(x, '{p}', 2) as g, regexp_split_to_array(x, '{p}') as s from t"
+        for k, (kind, p, n) in enumerate(rules)
+    )
+    return f"""
+with t as (select doc_id, coalesce(text, '') as x from documents), e as ({found}),
+i as (select doc_id, k, kind, least, m, g, s, unnest(range(1, len(m) + 1)) as i from e),
+w as (select doc_id, k, kind, list_sum(list_transform(s[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) as a, length(m[i]) as n from i where length(g[i]) >= least),
+b as (select doc_id, kind, k, kind || ':' || a::bigint || ':' || (a + n)::bigint as span, a from w),
+f as (select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+  string_agg(span, ',' order by a, k) filter (where k < 3) as base, string_agg(span, ',' order by a, k) as spans from b group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join f using (doc_id)
+"""
+
+
+ORACLE = _oracle()

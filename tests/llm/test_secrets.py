@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from quillspark.llm import secrets
 
@@ -28,6 +31,32 @@ def test_spans_equal_regular_expressions():
         assert [s for s in spans if s[0] in ("assign", "access", "hex")] == brute(text), text
 
 
+@pytest.mark.parametrize("part", ["secret: token: abcdefgh ", "secret: secret: ", "token=secret=", "token :   'secret ", "f", "AKIA", "é token: "])
+def test_nested_triggers_take_time_in_proportion(part):
+    scanner, took = secrets.Scanner(), []
+    for size in (250_000, 1_000_000):
+        text = part * (size // len(part))
+        start = time.perf_counter()
+        found = [s for s in scanner.scan([text])[0] if s[0] in ("assign", "access", "hex")]
+        took.append(time.perf_counter() - start)
+        assert found == brute(text)
+    assert took[1] < 3 and took[1] < 12 * max(took[0], 0.05)
+
+
+def test_any_nesting_equals_regular_expressions():
+    rnd = random.Random(9)
+    parts = ["secret", "token", "password", ":", "=", " ", "   ", '"', "abcdef", "x", "AKIA", "\n", "0123456789abcdef0123456789"]
+    scanner = secrets.Scanner()
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(200))) for _ in range(3000)]
+    for text, spans in zip(texts, scanner.scan(texts)):
+        assert [s for s in spans if s[0] in ("assign", "access", "hex")] == brute(text), text
+
+
+def test_many_rules_are_several_automata():
+    rules = tuple(secrets.SecretRule(f"r{k}", f"key{k}q[a-z]+") for k in range(70))
+    assert secrets.Scanner(rules).scan(["key3qabc key69qx"]) == [[("r3", 0, 8), ("r69", 9, 16)]]
+
+
 def test_more_kinds():
     found = secrets.Scanner().scan(["xx ghp_" + "z1" * 18 + " -----BEGIN RSA PRIVATE KEY-----", "xoxb-1234567890-abcdefgh ghp_short"])
     assert [[k for k, _, _ in x] for x in found] == [["github", "private_key"], ["slack"]]
