@@ -3,14 +3,15 @@
 The tokens of a task's documents, in stored order, form one line. Windows of at most ``width`` tokens cover it; a
 window costs its padding plus the penalty of the cut that ends it (none at a document's end, some at a sentence's end,
 more elsewhere). With f the least cost up to a cut and t its place, f(j) = width - t(j) + penalty(j) + min (f(i) + t(i))
-over the cuts i within reach, and a monotone queue keeps that minimum. Near the end of the line windows whose length is
-a power of two are tried too, as they are not padded.
+over the cuts i within reach, and a monotone queue keeps that minimum. Windows whose length is a power of two are not
+padded; the few cuts at such a distance are tried beside the queue, everywhere in the line.
 
 A line is solved in stretches of ``STRETCH`` tokens; the last window of a stretch is opened again in the next one, so
 memory does not grow with the input. No rows are shuffled.
 
-Defined cases: null and empty texts are the closing id alone; a document longer than a window is cut; repeated rows are
-packed each; an empty table gives no rows.
+Defined cases: null and empty texts are the closing id alone; a document longer than a window is cut, and a text of any
+length is encoded whole; repeated rows are packed each, so their sequences tell them apart; of equally good cuts the one
+that the program meets first stands; extra columns don't matter, whatever their names; an empty table gives no rows.
 """
 
 import base64
@@ -34,8 +35,8 @@ GAP, STEP = 32, 16
 class Encoder:
     """Ids of a byte-level tokenizer, and where sentences end.
 
-    The tokenizer's vocabulary as ranks gives the same ids faster; texts that hold a special string go through the
-    tokenizer itself, which knows it.
+    The tokenizer's vocabulary as ranks gives the same ids faster; texts that hold a special string, and those whose
+    runs of blanks are too long for its pattern, go through the tokenizer itself.
     """
 
     def __init__(self, path: str, ranks: str):
@@ -55,33 +56,46 @@ class Encoder:
 
     def line(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the places after which a sentence or a line ends."""
-        if any(x in text for x in self.special):
+        ids = None
+        if not any(x in text for x in self.special):
+            try:
+                ids = self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its pattern's stack is bounded
+                pass
+        if ids is None:
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        else:
-            ids = self.fast.encode_to_numpy(text, disallowed_special=())
         if not len(ids):
             return ids, np.zeros(0, dtype=np.int64)
         return ids, np.flatnonzero(self.breaks[ids] | self.ends[ids] & np.r_[self.spaced[ids[1:]], True]) + 1
 
 
-def best_cuts(places: list[int], penalty: list[float], width: int, last: bool) -> list[int]:
-    """Indices of the chosen places, the first and the last included; neighbours are at most width apart."""
+def power_steps(places: np.ndarray, width: int) -> list[list[int]]:
+    """For each place the indices of places before it at a distance that is a power of two below width."""
+    at = np.full(int(places[-1]) + 1, -1, dtype=np.int64)
+    at[places] = np.arange(len(places))
+    out: list[list[int]] = [[]] * len(places)
+    for length in (1 << k for k in range(width.bit_length()) if 1 << k < width):
+        begins = at[np.maximum(places - length, 0)]
+        hit = np.flatnonzero((begins >= 0) & (places >= length))
+        for j, i in zip(hit.tolist(), begins[hit].tolist()):
+            out[j] = [*out[j], i]
+    return out
+
+
+def best_cuts(places: list[int], penalty: list[float], width: int) -> list[int]:
+    """Indices of the chosen places, the first (0) and the last included; neighbours are at most width apart."""
     cost, back = [0.0] * len(places), [0] * len(places)
-    queue: deque[tuple[float, int]] = deque([(float(places[0]), 0)])  # rising values of cost + place
-    near = places[-1] - 2 * width if last else places[-1] + 1
-    index = {p: k for k, p in enumerate(places) if p >= near - width}
-    powers = [1 << k for k in range(width.bit_length()) if 1 << k < width]
+    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # rising values of cost + place
+    steps = power_steps(np.array(places), width)
     for j in range(1, len(places)):
         p = places[j]
         while places[queue[0][1]] < p - width:
             queue.popleft()
         value, i = queue[0]
         least = value + width - p
-        if p >= near:
-            for length in powers:
-                k = index.get(p - length)
-                if k is not None and cost[k] + SHORT < least:
-                    least, i = cost[k] + SHORT, k
+        for k in steps[j]:
+            if cost[k] + SHORT < least:
+                least, i = cost[k] + SHORT, k
         cost[j], back[j] = least + penalty[j], i
         value = cost[j] + p
         while queue and queue[-1][0] >= value:
@@ -119,7 +133,7 @@ class Line:
         places = np.union1d(places, np.concatenate(filled)) if filled else places
         penalty |= dict.fromkeys(begins.tolist(), 0.0)
         places = places.tolist()
-        cuts = [places[k] for k in best_cuts(places, [penalty.get(p, AT_SENTENCE) for p in places], self.width, last)]
+        cuts = [places[k] for k in best_cuts(places, [penalty.get(p, AT_SENTENCE) for p in places], self.width)]
         if not last:
             cuts.pop()
         out, k, starts = [], 0, begins.tolist()
