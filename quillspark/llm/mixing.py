@@ -3,15 +3,20 @@
 Sources get targets by weight, none above ``most`` times its own size, the excess shared again by weight. The targets
 are counted in equal blocks of words: blocks go to sources by highest quotients target / (2 j + 1), which gives each
 source an integer quota, and each source's quota goes to its shards by the same rule. Within a shard the documents lie
-in a seeded order; its blocks are taken whole as often as the quota covers the shard, and a seeded run of blocks once
-more.
-
-A shard holds about ``SHARD_ROWS`` documents of one source, so a source that holds most rows is many shards. Quotients
-are not listed from 0 on: with k rivals for n blocks, the quota of a share s lies within s k / 2 + 1 of s n, so about
-4 k quotients settle all of them.
-
-Defined cases: a null text has size 0; a null source is a source, the last; sources without words get target 0 and
-nothing taken; an empty table gives no rows; a repeated row is a document of its own; extra columns are left out.
+in a seeded order and are cut into blocks. All blocks are taken as often as the quota covers the shard; of the blocks
+left over, those come first that a seeded permutation of the shard's blocks ranks lowest. The permutation is
+rank = (a * block + c) mod (n - 1) with a prime a that doesn't divide n - 1 and a seeded c; the last block, which may be
+shorter, always ranks last.
+
+A shard holds about ``SHARD_ROWS`` documents of one source, so a source that holds most rows is many shards; beyond
+``MOST_SHARDS`` of them shards grow instead, so that the windows over a source's shards stay bounded. Quotients are not
+listed from 0 on: with k rivals for n blocks, the quota of a share s lies within s k / 2 + 1 of s n, so about 4 k
+quotients settle all of them.
+
+Defined cases: a null text has size 0; texts of any length are cut by words; a null source is a source, the last;
+sources without words get target 0 and nothing taken; equal quotients go to the source or shard that comes first; an
+empty table gives no rows; a repeated row is a document of its own; extra columns, whatever their names, are left out by
+mix() and kept by mixed().
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +26,10 @@ from pyspark.sql.window import Window
 from quillspark.plans.staging import Stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-SHARD_ROWS = 4096
+SHARD_ROWS, MOST_SHARDS = 4096, 65_536
 BLOCK_WORDS = 32
+#: The largest primes below 2^31, one of which steps through the blocks of a shard.
+STEPS = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563)
 
 
 def n_words(text: Column) -> Column:
@@ -39,7 +46,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
     by_need = Window.orderBy(F.col("cap") / F.col("weight"), "pos")
     all_rows = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = ranked.withColumn("capped", F.coalesce(F.sum("cap").over(by_need.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    ranked = ranked.withColumn("open", F.sum("weight").over(by_need.rowsBetween(0, Window.unboundedFollowing)))
+    from_end = Window.orderBy((F.col("cap") / F.col("weight")).desc(), F.desc("pos"))
+    ranked = ranked.withColumn("open", F.sum("weight").over(from_end.rowsBetween(Window.unboundedPreceding, 0)))
     ranked = ranked.withColumn("total", F.lit(float(share)) * F.sum("source_size").over(all_rows))
     ranked = ranked.withColumn("lift", (F.col("total") - F.col("capped")) / F.col("open"))
     level = F.max("lift").over(all_rows)
@@ -69,7 +77,7 @@ def mix(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and passes, begins, more: whole copies, then ``more`` words from ``begins`` on, cyclic."""
+    """doc_id, size, source_size, target, taken, and passes, ranges: whole copies, and the ranges of words (begin, end) taken once more."""
     stage = Stage(spark, "mixing")
     source = F.col(source_col).cast("string")
     rows = stage.write(docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), F.coalesce(source, F.lit("")).alias("source"), source.isNull().alias("unnamed")), "rows")
@@ -77,7 +85,7 @@ def mix(
     sources = rows.groupBy(*name).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = targets(sources, weights, share, most).withColumn("_one", F.lit(0))
     all_blocks = F.round(F.sum("target").over(Window.partitionBy("_one")) / BLOCK_WORDS).cast("long")
-    sources = stage.write(apportion(sources, "target", all_blocks, ["_one"], name).drop("_one").withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / SHARD_ROWS)).cast("int")), "sources")
+    sources = stage.write(apportion(sources, "target", all_blocks, ["_one"], name).drop("_one").withColumn("n_shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("n_docs") / SHARD_ROWS))).cast("int")), "sources")
     dealt = rows.join(sources.select(*name, "n_shards"), name).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")).cast("int")).drop("n_shards")
     dealt = stage.write(dealt, "dealt")
     shards = dealt.groupBy(*name, "shard").agg(F.sum("size").cast("double").alias("shard_size"))
@@ -86,39 +94,55 @@ def mix(
     words = F.least(F.col("quota") * BLOCK_WORDS, (F.lit(float(most)) * F.col("shard_size")).cast("long"))
     whole = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / BLOCK_WORDS)).cast("long")
-    first = F.pmod(F.xxhash64(F.lit(seed + 1), *name, "shard"), n_blocks) * BLOCK_WORDS
-    shards = shards.select(*name, "shard", "source_size", "target", F.col("shard_size").cast("long").alias("shard_size"), whole.alias("passes"), (words - whole * F.col("shard_size")).cast("long").alias("run"), first.alias("run_from"))
+    seeded = F.xxhash64(F.lit(seed + 1), *name, "shard")
+    steps = F.array(*map(F.lit, STEPS))
+    others = F.greatest(F.lit(1), n_blocks - 1).cast("long")
+    step = F.get(F.filter(F.concat(F.slice(steps, F.pmod(seeded, F.lit(len(STEPS))).cast("int") + 1, len(STEPS)), steps), lambda a: a % F.col("others") != 0), F.lit(0))
+    shards = shards.withColumn("others", others).select(
+        *name, "shard", "source_size", "target", F.col("shard_size").cast("long").alias("shard_size"), whole.alias("passes"), (words - whole * F.col("shard_size")).cast("long").alias("rest"),
+        n_blocks.alias("n_blocks"), "others", (F.coalesce(step, F.lit(1)) % F.col("others")).cast("long").alias("a"), F.pmod(seeded, F.col("others")).cast("long").alias("c"),
+    )
     line = Window.partitionBy(*name, "shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size")
     placed = dealt.withColumn("at", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).join(shards, [*name, "shard"])
-    # the run is cyclic: from run_from on, and what passes the end goes on at 0
-    end = F.col("run_from") + F.col("run")
-    overlap = lambda a, b: F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), b) - F.greatest(F.col("at"), a))
-    head = overlap(F.lit(0), F.greatest(F.lit(0), end - F.col("shard_size")))
-    tail = overlap(F.col("run_from"), F.least(end, F.col("shard_size")))
-    return placed.select(
-        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + head + tail).cast("long").alias("taken"), "passes",
-        F.when(tail > 0, F.greatest(F.lit(0), F.col("run_from") - F.col("at"))).otherwise(F.lit(0)).cast("long").alias("begins"), (head + tail).cast("long").alias("more"),
-    )
+    full, over = F.floor(F.col("rest") / BLOCK_WORDS), F.col("rest") % BLOCK_WORDS
+
+    def taken_of(block: Column) -> Column:
+        rank = F.when(block == F.col("n_blocks") - 1, block).otherwise((F.col("a") * block + F.col("c")) % F.col("others"))
+        begin, n = block * BLOCK_WORDS, F.when(rank < full, BLOCK_WORDS).when(rank == full, over).otherwise(0)
+        return F.struct((F.greatest(F.col("at"), begin) - F.col("at")).alias("begin"), (F.least(F.col("at") + F.col("size"), begin + n) - F.col("at")).alias("end"))
+
+    blocks = F.sequence(F.floor(F.col("at") / BLOCK_WORDS), F.floor((F.col("at") + F.col("size") - 1) / BLOCK_WORDS))
+    ranges = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.filter(F.transform(blocks, taken_of), lambda r: r["end"] > r["begin"]))
+    placed = placed.select("doc_id", "size", "source_size", "target", "passes", F.coalesce(ranges, F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("ranges"))
+    more = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + more).cast("long").alias("taken"), "passes", "ranges")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The mix as rows of documents: a row for each whole copy, and one of the remaining words, if any.
+    """The mix as rows of documents: a row for each whole copy, and one of the blocks taken once more, if any.
 
-    Rows of one id all get the copies of the first of them.
+    Blocks that don't follow each other stand on lines of their own. Rows of one id all get the copies of the first of
+    them; nulls in other columns and extra columns of any name stay.
     """
-    take = mix(spark, docs, **how).where("taken > 0").select(F.col("doc_id").alias("take_id"), "size", "passes", "begins", "more").dropDuplicates(["take_id"])
-    copies = F.concat(F.array_repeat(F.lit(False), F.col("passes").cast("int")), F.when(F.col("more") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    rows = docs.join(take, F.col("doc_id").eqNullSafe(F.col("take_id"))).select("*", F.explode(copies).alias("partial"))
+    own = "_take"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    take = mix(spark, docs, **how).where("taken > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(f"{own}id"), F.struct("size", "taken", "passes", "ranges").alias(own))
+    field = lambda name: F.col(f"{own}.{name}")
+    copies = F.concat(F.array_repeat(F.lit(False), field("passes").cast("int")), F.when(F.size(field("ranges")) > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    rows = docs.join(take, F.col("doc_id").eqNullSafe(F.col(f"{own}id"))).select("*", F.explode(copies).alias(f"{own}part"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    begins, more = F.col("begins").cast("int"), F.col("more").cast("int")
-    # the words from begins on, and on a line of its own what passes the end, from the start on
-    over = F.greatest(F.lit(0), begins + more - F.col("size").cast("int"))
-    part = F.concat(F.array_join(F.slice(words, begins + 1, more), ""), F.when(over > 0, F.concat(F.lit("\n"), F.array_join(F.slice(words, F.lit(1), over), ""))).otherwise(F.lit("")))
-    text = F.when(F.col("partial") & (F.col("more") < F.col("size")), part).otherwise(F.col("text"))
+    rows = rows.withColumn(f"{own}words", F.when(F.col(f"{own}part") & (field("taken") < (field("passes") + 1) * field("size")), words))
+
+    def part(r: Column, i: Column) -> Column:
+        apart = (i > 0) & (F.get(field("ranges"), i - 1)["end"] != r["begin"])
+        return F.concat(F.when(apart, F.lit("\n")).otherwise(F.lit("")), F.array_join(F.slice(F.col(f"{own}words"), r["begin"].cast("int") + 1, (r["end"] - r["begin"]).cast("int")), ""))
+
+    text = F.when(F.col(f"{own}words").isNotNull(), F.array_join(F.transform(field("ranges"), part), "")).otherwise(F.col("text"))
     out = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,49 @@ def test_a_hot_source_is_many_shards(spark, docs_of, monkeypatch):
         target[sources[r["doc_id"]]] = r["target"]
         assert r["taken"] <= 2 * r["size"]
     assert all(abs(total[s] - target[s]) <= 64 for s in target)
+
+
+def test_blocks_are_those_that_the_permutation_ranks_lowest(spark, docs_of):
+    """Against a list of all words of a shard."""
+    from pyspark.sql import functions as F
+
+    texts = ["w " * (k * 37 % 113) for k in range(200)] + ["v " * 4000]
+    sources = ["a"] * 200 + ["b"]
+    df = docs_of(texts, sources=sources)
+    rows = {r["doc_id"]: r for r in mixing.mix(spark, df, weights=(1, 1), share=0.6).collect()}
+    order = [r[0] for r in df.where("source = 'a'").orderBy(F.xxhash64(F.lit(19), "doc_id"), "doc_id").select("doc_id").collect()]
+    line = [(i, w) for i in order for w in range(rows[i]["size"])]
+    seed = df.limit(1).select(F.xxhash64(F.lit(18), F.lit(False), F.lit("a"), F.lit(0))).first()[0]
+    n = -(-len(line) // 32)
+    got = sum(rows[i]["taken"] for i in order)
+    passes, rest = divmod(got, len(line))
+    a = next(x for x in (mixing.STEPS[seed % 5 :] + mixing.STEPS) if x % (n - 1)) % (n - 1)
+    rank = {b: (a * b + seed) % (n - 1) for b in range(n - 1)} | {n - 1: n - 1}
+    assert sorted(rank.values()) == list(range(n)) and got % 32 == 0 and abs(got - sum(r["size"] for r in rows.values()) * 0.6 / 2) <= 32
+    want = defaultdict(set)
+    for k, (i, w) in enumerate(line):
+        if rank[k // 32] < rest // 32 or rank[k // 32] == rest // 32 and k % 32 < rest % 32:
+            want[i].add(w)
+    for i in order:
+        assert rows[i]["passes"] == passes and {w for r in rows[i]["ranges"] for w in range(r["begin"], r["end"])} == want[i]
+    # the blocks are spread over the shard
+    chosen = sorted(b for b, r in rank.items() if r < rest // 32)
+    assert sum(y - x > 1 for x, y in zip(chosen, chosen[1:])) > len(chosen) / 4
+
+
+def test_mixed_keeps_columns_of_any_name(spark, docs_of):
+    df = docs_of(["a b c " * 30, "d e " * 50, None], sources=["x", "y", None])
+    for name in ("passes", "begins", "more", "partial", "ranges", "taken", "_take", "_take_", "take_id", "size.x"):
+        df = df.withColumn(name, df.u)
+    out = mixing.mixed(spark, df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert rows and all(r["_take"] == r["passes"] == r["size.x"] == 7 and r["size"] == "x" and r["n_chars"] == len(r["text"]) for r in rows)
+    assert mixing.mixed(spark, df.limit(0)).count() == 0
+
+
+def test_a_long_text_is_cut_at_blocks(spark, docs_of):
+    df = docs_of([" ".join(f"w{k}" for k in range(100_000)), "x y"], sources=["a", "b"])
+    rows = mixing.mixed(spark, df, weights=(1,), share=0.5).where("doc_id = 0").collect()
+    words = [w for r in rows for line in r["text"].split("\n") for w in [line.split()]]
+    assert all(int(b[1:]) - int(a[1:]) == 1 for w in words for a, b in zip(w, w[1:]))
