@@ -9,21 +9,47 @@ rows within that distance of it hold all of the block's top k. Only their scores
 
 Blocks of rows and blocks of queries meet pairwise; each meeting returns k rows a query, which a window then merges.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of different length are
-filled up with zeros; ties go to the smaller id; rows of the query's own id are no candidates;
-repeated rows all count as candidates, and once as queries.
-Blocks with values of 2^20 or more are scored by plain 64-bit products instead of slices.
+Values may have any width: slices hold the ``KEPT`` highest bits of a block's widest attribute, and sums and scores that
+64 bits cannot hold are computed with Python's integers.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part, and neither do null ids; finite
+components of any size do, but a score among the best k that is no long raises an error; vectors of different length are
+filled up with zeros; ties go to the smaller id; rows of the query's own id are no candidates; repeated rows all count as
+candidates, and once as queries; an empty table gives no rows; extra columns don't matter, whatever their names.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows and queries of a block, and bits left out of the slices.
-ROWS, QUERIES, DROPPED = 4096, 256, 1
-SLICED_BELOW = 1 << 20
+#: Rows and queries of a block, and bits at least left out of the slices and at most kept in them.
+ROWS, QUERIES, DROPPED, KEPT = 4096, 256, 1, 12
+#: Partitions that blocks are dealt to, at most; beyond, a task takes several in turn.
+TASKS = 8192
+
+
+def whole_numbers(rows: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale x), as 64-bit integers where they suffice, else as Python's."""
+    with np.errstate(over="ignore"):
+        near = np.floor(rows * float(scale))
+    if np.abs(near).max(initial=0) < 1 << 62:
+        return near.astype(np.int64)
+    exact = [[int(x) * scale if abs(x) >= 1 << 53 else math.floor(x * scale) for x in r] for r in rows.tolist()]
+    out = np.empty(rows.shape, dtype=object)
+    out[:] = exact
+    return out
+
+
+def products(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, exact."""
+    if values.dtype != object and query.dtype != object:
+        if sum(a * abs(b) for a, b in zip(np.abs(values).max(axis=0, initial=0).tolist(), query.tolist())) < 1 << 63:
+            return values @ query
+    return values.astype(object) @ query.astype(object)
 
 
 def add_slices(by_power: dict[int, np.ndarray]) -> list[np.ndarray]:
@@ -66,15 +92,14 @@ class Block:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        n = len(ids)
-        self.words = -(-n // 64)
-        self.low = values.min(axis=0)
-        self.sliced = np.abs(values).max(initial=0) < SLICED_BELOW
-        if self.sliced:
-            shifted = (values - self.low) >> DROPPED
-            self.width = [int(x).bit_length() for x in shifted.max(axis=0)]
-            self.maps = [np.stack([self.packed(shifted[:, d] >> b & 1) for b in range(w)]) if w else None for d, w in enumerate(self.width)]
-            self.valid = self.packed(np.ones(n, dtype=np.int64))
+        self.words = -(-len(ids) // 64)
+        shifted = values - values.min(axis=0)
+        most = [int(x) for x in shifted.max(axis=0)]
+        self.dropped = max(DROPPED, max(most, default=0).bit_length() - KEPT)
+        shifted = (shifted >> self.dropped).astype(np.int64)
+        widths = [(x >> self.dropped).bit_length() for x in most]
+        self.maps = [np.stack([self.packed(shifted[:, d] >> b & 1) for b in range(w)]) if w else None for d, w in enumerate(widths)]
+        self.valid = self.packed(np.ones(len(ids), dtype=np.int64))
 
     def packed(self, bits: np.ndarray) -> np.ndarray:
         out = np.zeros(self.words * 64, dtype=np.uint8)
@@ -95,42 +120,40 @@ class Block:
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (id, score) for one query, rows of its own id left out."""
-        if self.sliced and np.abs(query).max(initial=0) < SLICED_BELOW:
-            by_power: dict[int, list] = {}
-            spread = 0
-            for d in np.flatnonzero(query):
-                q, maps = int(query[d]), self.maps[d]
-                spread += abs(q) * ((1 << DROPPED) - 1)
-                if maps is None:
-                    continue
-                if q < 0:
-                    q, maps = -q, ~maps & self.valid
-                for j in range(q.bit_length()):
-                    if q >> j & 1:
-                        for b, m in enumerate(maps):
-                            by_power.setdefault(b + j, []).append(m)
-            slices = add_slices({p: np.stack(x) for p, x in by_power.items()})
-            # sums leave out the dropped bits: each is short by at most spread, in units of the slices
-            value, _ = walk(slices, self.valid, k + int((self.ids == query_id).sum()))
-            near = self.at_least(slices, max(0, value - (-(-spread >> DROPPED)) - 1))
-            at = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: len(self.ids)])
-        else:
-            at = np.arange(len(self.ids))
+        by_power: dict[int, list] = {}
+        spread = 0
+        for d, q in enumerate(query.tolist()):
+            if not q:
+                continue
+            spread += abs(q) * ((1 << self.dropped) - 1)
+            maps = self.maps[d]
+            if maps is None:
+                continue
+            if q < 0:
+                q, maps = -q, ~maps & self.valid
+            for j in range(q.bit_length()):
+                if q >> j & 1:
+                    for b, m in enumerate(maps):
+                        by_power.setdefault(b + j, []).append(m)
+        slices = add_slices({p: np.stack(x) for p, x in by_power.items()})
+        # sums leave out the dropped bits: each is short by at most spread, in units of the slices
+        value, _ = walk(slices, self.valid, k + int((self.ids == query_id).sum()))
+        near = self.at_least(slices, max(0, value - (-(-spread >> self.dropped)) - 1))
+        at = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: len(self.ids)])
         at = at[self.ids[at] != query_id]
-        exact = self.values[at] @ query
-        best = np.lexsort((self.ids[at], -exact))[:k]
-        return list(zip(self.ids[at[best]].tolist(), exact[best].tolist()))
+        exact = products(self.values[at], query)
+        best = sorted(zip((-exact).tolist(), self.ids[at].tolist()))[:k] if exact.dtype == object else [(-int(exact[i]), int(self.ids[at[i]])) for i in np.lexsort((self.ids[at], -exact))[:k]]
+        return [(i, -score) for score, i in best]
 
 
-def quantised(vector: Column, scale: int) -> Column:
-    """floor(scale x) of each component as long; null for vectors that take no part."""
-    ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float(1 << 53) / scale))
-    return F.when(vector.isNotNull() & ok, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+def able(vector: Column) -> Column:
+    """Whether a vector takes part: neither null nor with a component that is null or no finite number."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
 
 
 def _values(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), dtype=np.int64)
+    out = np.zeros((len(rows), max(map(len, rows), default=0)))
     for k, r in enumerate(rows):
         out[k, : len(r)] = r
     return out
@@ -140,14 +163,15 @@ def top_k(
     spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k highest scores among the rows of other ids."""
-    read = lambda df: df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).where("v is not null and id is not null")
+    read = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(able(F.col("v")) & F.col("id").isNotNull())
     rows, queries = read(rows), read(queries).dropDuplicates(["id", "v"])
     n_blocks = max(1, -(-rows.count() // ROWS))
     n_groups = max(1, -(-queries.count() // QUERIES))
     # numbers of a partition's rows deal them out evenly, and alike when a task runs again
     deal = lambda df, n: df.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
     pair = F.sort_array(F.collect_list(F.struct("id", "v")))
-    blocks = deal(rows, n_blocks).groupBy("part").agg(pair.alias("rows"))
+    # a given number of partitions, as small blocks that cost much time must not meet in one task
+    blocks = deal(rows, n_blocks).repartition(min(2 * n_blocks, TASKS), "part").groupBy("part").agg(pair.alias("rows"))
     groups = deal(queries, n_groups).groupBy("part").agg(pair.alias("queries")).select("queries", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("part"))
     meet = groups.join(blocks, "part").select("rows", "queries")
 
@@ -158,8 +182,11 @@ def top_k(
                 r, q = _values(rs.field("v")), _values(qs.field("v"))
                 wide = max(r.shape[1], q.shape[1])
                 r, q = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (r, q))
+                r, q = whole_numbers(r, scale), whole_numbers(q, scale)
                 block = Block(rs.field("id").to_numpy(), r)
                 found = [(i, *hit) for i, x in zip(qs.field("id").to_pylist(), q) for hit in block.top(i, x, k)]
+                if any(not -(1 << 63) <= score < 1 << 63 for _, _, score in found):
+                    raise OverflowError("a score among the best is too large for a long")
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["query_id", "vec_id", "score"])
 

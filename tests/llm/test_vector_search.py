@@ -15,7 +15,8 @@ def brute(rows, queries, k, scale=256):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    return df.selectExpr("*", "'x' as id", "2 as v", "3 as part", "4 as rank", "5L as score", "6L as query_id")
 
 
 def run(spark, rows, queries, k):
@@ -59,3 +60,27 @@ def test_slices_add_and_walk():
     assert value == np.sort(total)[-7]
     near = np.unpackbits(block.at_least(slices, int(value) - 100).view(np.uint8), bitorder="little")[:200].astype(bool)
     assert (near == (total >= value - 100)).all()
+
+
+@pytest.mark.parametrize("power", [20, 31, 45, 60, 100])
+def test_wide_values(spark, power):
+    # products of two wide values need more than 64 bits, so one of the two stays small
+    rng = np.random.default_rng(power)
+    rows = [(k, [float(np.float32(x)) for x in (rng.normal() * 2.0**power * (k % 2), rng.normal() * (k % 3), rng.normal())]) for k in range(90)]
+    queries = {0, 4, 8, 30, 60}
+    if power < 45:
+        assert run(spark, rows, queries, 5) == brute(rows, queries, 5)
+    # in Python, where no score must fit a long
+    ids, v = np.arange(90), vs.whole_numbers(np.array([r[1] for r in rows]), 256)
+    assert v.tolist() == [[int(np.floor(256 * x)) if abs(x) < 2**53 else 256 * int(x) for x in r[1]] for r in rows]
+    block = vs.Block(ids, v)
+    for q in (1, 4, 7, 30, 61):
+        best = sorted((-sum(a * b for a, b in zip(v[q].tolist(), w)), j) for j, w in enumerate(v.tolist()) if j != q)[:5]
+        assert block.top(q, v[q], 5) == [(j, -s) for s, j in best]
+
+
+def test_large_vectors_stay(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1e15, 0.0]), (3, [0.5, 0.0]), (4, [3e13, 0.0]), (5, [0.0, 0.0])]
+    assert run(spark, rows, {1}, 2) == brute(rows, {1}, 2)
+    with pytest.raises(Exception, match="too large for a long"):
+        run(spark, rows, {4}, 2)
