@@ -80,7 +80,7 @@ def test_wide_values(spark, power):
 
 
 def test_large_vectors_stay(spark):
-    rows = [(1, [1.0, 0.0]), (2, [1e15, 0.0]), (3, [0.5, 0.0]), (4, [3e13, 0.0]), (5, [0.0, 0.0])]
+    rows = [(1, [1.0, 0.0]), (2, [1e14, 0.0]), (3, [0.5, 0.0]), (4, [3e13, 0.0]), (5, [0.0, 0.0])]
     assert run(spark, rows, {1}, 2) == brute(rows, {1}, 2)
     with pytest.raises(Exception, match="too large for a long"):
         run(spark, rows, {4}, 2)
