@@ -1,18 +1,21 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Each text's set of word shingles gives its size, a hash of the whole set, and ``HASHES`` minima. Texts with the same
-   set are one class, stood for by its smallest id.
-2. The minima are banded. In each bucket every member is paired with the bucket's smallest member only.
+   set are one class, gathered by partial aggregates, so that a class of most rows is a few rows in the shuffle.
+2. The minima are banded. In each bucket every class is paired with the bucket's smallest class only.
 3. Signatures of a pair are compared batch by batch; it is dropped once the posterior probability of reaching the
    threshold, under a flat prior, falls below ``MISS``. Survivors are verified on their full sets.
-4. Verified links make components. In a bucket that still holds several, members outside its largest component are
-   compared with all members of other components, in blocks of bounded size that need not meet in one task, each pair in
-   the first bucket that it shares. Members with a surviving partner get their full sets and are verified in the block.
+4. Verified links make components. In a bucket that still holds several, classes outside its largest component are
+   compared with all classes of other components, in blocks of bounded size that need not meet in one task, each pair in
+   the first bucket that it shares. Classes with a surviving partner get their full sets and are verified in the block.
 
-Two texts at the threshold share no bucket with probability (1 - 0.8^4)^24, about 3e-6.
+Two texts at the threshold share no bucket with probability (1 - 0.8^4)^24, about 3e-6. Tables that a hot key is joined
+with are written first, so that Spark can split the partition of that key.
 
 Defined cases: null and empty texts have no shingles and stay alone; texts with fewer words than a shingle have one, the
-whole; repeated rows of an id are all given; a null id is a row of its class like others; an empty table gives no rows.
+whole; texts of any length are shingled whole; each row of an id is judged by its own text, and all rows are given; a
+null id is a row of its class like others, but names no component unless all ids are null; of equal texts the smallest id
+stands for all; extra columns don't matter, whatever their names; an empty table gives no rows.
 """
 
 import math
@@ -33,10 +36,10 @@ from quillspark.plans.staging import Stage
 BANDS, ROWS, BATCH = 24, 4, 32
 HASHES = BANDS * ROWS
 MISS = 1e-5
-#: Members of one side of a block.
-BLOCK = 256
-#: Bits of the filter that keeps texts out of the verification's shuffle; its size does not depend on the input.
-FILTER_BITS = 1 << 24
+#: Members of one side of a block, and of one side of what is compared at once.
+BLOCK, CHUNK = 1024, 256
+#: Bits of the filter that keeps texts out of the verification's shuffle, at most, and for each wanted id. With more ids than it serves, a join picks the texts.
+FILTER_BITS, BITS_AN_ID = 1 << 27, 16
 _random = np.random.default_rng(20240607)
 _A = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -166,34 +169,49 @@ def survivors(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(a, "u").join(b, "v").where(near).select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str, stage: Stage, name: str) -> DataFrame | None:
-    """id, s: the full sets of at least the given ids; None if there are no ids.
+def full_sets(wanted: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str, stage: Stage, name: str) -> DataFrame | None:
+    """id, s: the full sets of classes; wanted has their id, set_key and the id of one document; None if it is empty.
 
-    A bitmap of hashed ids keeps other texts from being shuffled; what it lets through beside them is harmless.
+    A bitmap of hashed document ids keeps other texts from being shingled; what passes beside them is sorted out by set_key.
     """
-    place = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(FILTER_BITS))
-    size = 4096
-    maps = ids.select(place("id").alias("p")).groupBy(F.floor(F.col("p") / (size * 8)).alias("b")).agg(F.bitmap_construct_agg(F.col("p") % (size * 8)).alias("m")).collect()
-    if not maps:
+    wanted = stage.write(wanted.distinct(), f"{name}_wanted")
+    n = wanted.count()
+    if not n:
         return None
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in maps:
-        bits[r["b"] * size : (r["b"] + 1) * size] = np.frombuffer(r["m"], dtype=np.uint8)
+    size = 1 << max(20, (n * BITS_AN_ID - 1).bit_length())
+    own = F.col(id_col).cast("long")
+    texts = docs.select(own.alias("rep"), F.col(text_col).alias("text"))
+    place = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(min(size, FILTER_BITS)))
+    bits = None
+    if size <= FILTER_BITS:
+        word = 4096
+        maps = wanted.select(place("rep").alias("p")).groupBy(F.floor(F.col("p") / (word * 8)).alias("b")).agg(F.bitmap_construct_agg(F.col("p") % (word * 8)).alias("m")).collect()
+        bits = np.zeros(size // 8, dtype=np.uint8)
+        for r in maps:
+            bits[r["b"] * word : (r["b"] + 1) * word] = np.frombuffer(r["m"], dtype=np.uint8)
+    else:
+        reps = wanted.select(F.col("rep").alias("wanted_rep")).distinct()
+        texts = texts.join(reps, F.col("rep").eqNullSafe(F.col("wanted_rep")), "left_semi")
 
     def sets(batches):
-        for batch, texts in pieces(batches, text_col):
-            p = batch.column("p").to_numpy()
-            at = np.flatnonzero(bits[p // 8] >> (p % 8).astype(np.uint8) & 1)
-            found = [shingles(texts[k], width).tobytes() for k in at.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(found, pa.binary())], ["id", "s"])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col, place(F.col(id_col).cast("long")).alias("p"))
-    return stage.write(rows.mapInArrow(sets, "id long, s binary"), name).dropDuplicates(["id"])
+        for batch, found in pieces(batches, "text"):
+            at = range(len(found))
+            if bits is not None:
+                p = batch.column("p").to_numpy()
+                at = np.flatnonzero(bits[p // 8] >> (p % 8).astype(np.uint8) & 1).tolist()
+            out = [shingles(found[k], width).tobytes() for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in out], pa.binary()), pa.array(out, pa.binary())], ["set_key", "s"])
+
+    rows = texts.withColumn("p", place("rep")).mapInArrow(sets, "set_key binary, s binary").groupBy("set_key").agg(F.first("s").alias("s"))
+    out = stage.write(rows.join(wanted.select("id", "set_key"), "set_key").select("id", "s"), name)
+    stage.drop(f"{name}_wanted")
+    return out
 
 
-def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, stage: Stage, name: str) -> DataFrame:
+def verified(spark: SparkSession, pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, stage: Stage, name: str) -> DataFrame:
     """The pairs u, v whose full sets reach the threshold."""
-    found = full_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")), docs, width, id_col, text_col, stage, f"{name}_sets")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    found = full_sets(classes.select("id", "set_key", "rep").join(ids, "id", "left_semi"), docs, width, id_col, text_col, stage, f"{name}_sets")
     if found is None:
         return stage.write(pairs.limit(0), name)
 
@@ -261,29 +279,36 @@ def block_candidates(g: dict[str, np.ndarray], num: int, den: int) -> tuple[np.n
         left, right = np.flatnonzero(g["own"] == g["i"]), np.flatnonzero(g["own"] == g["j"])
     if not len(left) or not len(right):
         return none, none, none
-    n, m = g["n"][left][:, None], g["n"][right][None, :]
-    open_ = (g["comp"][left][:, None] != g["comp"][right][None, :]) & (np.minimum(n, m) * den >= np.maximum(n, m) * num)
-    if g["kind"][0] == 1 and g["i"][0] == g["j"][0]:
-        open_ &= g["id"][left][:, None] < g["id"][right][None, :]
-    x, y = np.nonzero(open_)
-    x, y, out = left[x], right[y], [(none, none)]
-    for k in range(0, len(x), 65536):
-        a, b = g["sig"][x[k : k + 65536]], g["sig"][y[k : k + 65536]]
-        at = likely(a, b, num, den)
-        shared = (a[at].reshape(-1, BANDS, ROWS) == b[at].reshape(-1, BANDS, ROWS)).all(axis=2)
-        at = at[shared.argmax(axis=1) == g["band"][0]]
-        out.append((at + k, (a[at] == b[at]).sum(axis=1)))
-    at, equal = (np.concatenate(c) for c in zip(*out))
-    return x[at], y[at], equal
-
-
-def residual_blocks(reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets with several components, in blocks of at most about two times BLOCK rows."""
+    out = [(none, none, none)]
+    for c in range(0, len(left), CHUNK):
+        part = left[c : c + CHUNK]
+        n, m = g["n"][part][:, None], g["n"][right][None, :]
+        open_ = (g["comp"][part][:, None] != g["comp"][right][None, :]) & (np.minimum(n, m) * den >= np.maximum(n, m) * num)
+        if g["kind"][0] == 1 and g["i"][0] == g["j"][0]:
+            open_ &= g["id"][part][:, None] < g["id"][right][None, :]
+        x, y = np.nonzero(open_)
+        x, y = part[x], right[y]
+        for k in range(0, len(x), 65536):
+            u, v = x[k : k + 65536], y[k : k + 65536]
+            a, b = g["sig"][u], g["sig"][v]
+            at = likely(a, b, num, den)
+            shared = (a[at].reshape(-1, BANDS, ROWS) == b[at].reshape(-1, BANDS, ROWS)).all(axis=2)
+            at = at[shared.argmax(axis=1) == g["band"][0]]
+            out.append((u[at], v[at], (a[at] == b[at]).sum(axis=1)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def residual_blocks(reps: DataFrame, labels: DataFrame, stage: Stage, name: str) -> DataFrame:
+    """Members of buckets with several components, in blocks of at most about two times BLOCK rows.
+
+    A member is copied once for each block of the bucket's other members, so rows are the pairs divided by BLOCK.
+    """
     member = reps.select("id", "bands").join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), F.posexplode("bands").alias("band", "key"))
     per = member.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
     per = per.agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1 and size > 2")
     chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     per = per.select("key", F.col("top.comp").alias("main"), chunks(F.col("top.c")).alias("mc"), chunks(F.col("size") - F.col("top.c")).alias("rc"))
+    per = stage.write(per, f"{name}_per")
     rows = member.join(per, "key").withColumn("is_main", F.col("comp") == F.col("main"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(9), "id"), F.when(F.col("is_main"), F.col("mc")).otherwise(F.col("rc"))).cast("int"))
     rows = rows.join(reps.select("id", "n", "sig"), "id")
@@ -296,7 +321,7 @@ def residual_blocks(reps: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("key", "band", "block.i", "block.j", "block.kind", "id", "n", "sig", "comp", "is_main", "own")
 
 
-def block_links(spark: SparkSession, reps: DataFrame, labels: DataFrame, docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, stage: Stage, name: str) -> DataFrame:
+def block_links(spark: SparkSession, reps: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, stage: Stage, name: str) -> DataFrame:
     """Verified links u, v that join components in the residual blocks; links between joined components are left out.
 
     Pairs are never rows: first each block keeps the members that have a surviving partner in it, then it gets their full
@@ -343,9 +368,10 @@ def block_links(spark: SparkSession, reps: DataFrame, labels: DataFrame, docs: D
                                 found.append((int(g["id"][u]), int(g["id"][near[v]])))
             yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["u", "v"])
 
-    blocks = residual_blocks(reps, labels).repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS)
+    blocks = residual_blocks(reps, labels, stage, name).repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS)
     left = stage.write(blocks.mapInArrow(members, blocks.schema), f"{name}_left")
-    sets = full_sets(left.select("id"), docs, width, id_col, text_col, stage, f"{name}_sets")
+    stage.drop(f"{name}_per")
+    sets = full_sets(classes.select("id", "set_key", "rep").join(left.select("id").distinct(), "id", "left_semi"), docs, width, id_col, text_col, stage, f"{name}_sets")
     if sets is None:
         return stage.write(left.select(F.col("id").alias("u"), F.col("id").alias("v")), name)
     with small_batches(spark, 512):
@@ -361,36 +387,52 @@ def near_groups(
     """doc_id, n_shingles, component_id, kept: links are pairs of sets with den * intersection >= num * union."""
     stage = Stage(spark, "near")
     rows = stage.write(sketch(docs, width, id_col, text_col), "rows")
-    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = stage.write(rows.select("doc_id", "n", "set_key").join(classes, "set_key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    chosen = classes.where("n > 0 and doc_id = rep").select("doc_id").distinct()
-    reps = rows.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "sig", "bands")
-    reps = stage.write(reps, "reps")
-    stage.drop("rows")
+    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "sig", "bands")).alias("s"))
+    classes = stage.write(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "rep", "s.n", "s.sig", "s.bands"), "classes")
+    reps = classes.select("id", "n", "sig", "bands")
     member = reps.select("id", F.explode("bands").alias("key"))
-    hubs = member.groupBy("key").agg(F.min("id").alias("u"), F.count("*").alias("c")).where("c > 1").select("key", "u")
+    hubs = stage.write(member.groupBy("key").agg(F.min("id").alias("u"), F.count("*").alias("c")).where("c > 1").select("key", "u"), "hubs")
     pairs = member.join(hubs, "key").where("id <> u").select("u", F.col("id").alias("v")).distinct()
     open_ = stage.write(survivors(pairs, reps, num, den), "open")
-    links = verified(spark, open_, docs, width, num, den, id_col, text_col, stage, "links")
+    links = verified(spark, open_, classes, docs, width, num, den, id_col, text_col, stage, "links")
+    stage.drop("hubs")
+    stage.drop("open")
     labels = stage.write(components(spark, links, stage, "stars"), "labels")
-    more = block_links(spark, reps, labels, docs, width, num, den, id_col, text_col, stage, "more")
+    more = block_links(spark, reps, classes, labels, docs, width, num, den, id_col, text_col, stage, "more")
     # components of the first links are joined by the others
     name_of = lambda end: labels.select(F.col("id").alias(end), F.col("comp").alias(f"{end}c"))
     joined = more.join(name_of("u"), "u", "left").join(name_of("v"), "v", "left").select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v"))
     over = stage.write(components(spark, joined, stage, "over"), "over")
     labels = labels.join(over.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
     alone = over.join(labels, "id", "left_anti")
-    labels = stage.write(labels.unionByName(alone), "final")
-    out = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
+    named = classes.select("id", "set_key", "rep").join(labels.unionByName(alone), "id", "left").select("set_key", "rep", F.coalesce("comp", "id").alias("comp"))
+    named = stage.write(named, "named")
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    final = stage.write(named.join(stage.write(least, "least"), "comp").select("set_key", "component_id"), "final")
+    for name in ("classes", "links", "stars_0", "labels", "more", "over", "named", "least"):
+        stage.drop(name)
+    # the class of most rows is one partition of this join, which Spark splits; texts without shingles stay out of it
+    linked = rows.where("n > 0").select("doc_id", "n", "set_key").join(final, "set_key").select("doc_id", "n", "component_id")
+    out = linked.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest doc_id; of repeated rows of an id one stays."""
-    kept = near_groups(spark, docs, width, num, den).where("kept").select(F.col("doc_id").alias("kept_id"))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group of near-duplicates, that of the smallest doc_id.
+
+    Of repeated rows of an id one stays, the first by text; rows without an id stay if their group has no id at all; null
+    and empty texts stay; columns of any name and an empty table are kept as they are.
+    """
+    own = "_kept"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    kept = near_groups(spark, docs, width, num, den).where("kept").select(F.col("doc_id").alias(own)).distinct()
     order = Window.partitionBy("doc_id").orderBy("text")
-    return out.withColumn("_nth", F.row_number().over(order)).where("_nth = 1 or doc_id is null").drop("_nth")
+    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(own), "left_semi")
+    known = known.withColumn(own, F.row_number().over(order)).where(F.col(own) == 1).drop(own)
+    # rows without an id are no key to gather by
+    unknown = docs.where("doc_id is null").join(kept.where(F.col(own).isNull()), how="left_semi")
+    return known.unionByName(unknown)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,12 +73,44 @@ def test_repeated_rows_null_ids_and_empty_table(spark, docs_of):
 
 
 def test_bounds():
-    # the chance to miss a pair at the threshold stays below the stated one in each batch
-    for n in (32, 64, 96):
+    """The posterior chance that a dropped pair reaches the threshold stays below the stated miss; computed exactly."""
+    from fractions import Fraction
+    from math import comb
+
+    for n in range(nd.BATCH, nd.HASHES + 1, nd.BATCH):
+        t = Fraction(80, 100)
+        upto = lambda m: sum(comb(n + 1, i) * t**i * (1 - t) ** (n + 1 - i) for i in range(m + 1))
         m = nd.bound(n, 80, 100)
-        rng = np.random.default_rng(n)
-        assert (rng.binomial(n, 0.8, 200_000) < m).mean() < 2e-4
-        assert m > 0.4 * n
+        # Beta(m, n - m + 2) is that of m - 1 equal minima, which are dropped; m equal ones go on
+        assert upto(m - 1) < nd.MISS <= upto(m)
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark, docs_of):
+    a, b = "a b c d e f g", "p q r s t u v"
+    rows = nd.near_groups(spark, docs_of([a, b, a, b, b, a], [5, 5, 3, 9, None, None])).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in rows) == [(0, 3), (0, 5), (3, 3), (5, 3), (5, 5), (9, 5)]
+    none = nd.near_groups(spark, docs_of([a, a, "", None], [None] * 4)).collect()
+    assert [(r["component_id"], r["kept"]) for r in none] == [(None, True)] * 4
+
+
+def test_blocks_in_chunks_and_texts_by_join(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "CHUNK", 3)
+    monkeypatch.setattr(nd, "FILTER_BITS", 1 << 10)
+    texts = variants(5, 3, 40, 40)
+    assert result(spark, docs_of(texts), 4) == brute(list(enumerate(texts)), 4)
+
+
+def test_a_long_text_and_its_copy(spark, docs_of):
+    words = [f"w{k % 7919}x{k % 31}" for k in range(150_000)]
+    texts = [" ".join(words), " ".join(words[:140_000]), " ".join(words[:60_000])]
+    assert result(spark, docs_of(texts), 4) == brute(list(enumerate(texts)), 4)
+
+
+def test_without_copies_keeps_columns_of_any_name(spark, docs_of):
+    df = docs_of(["a b c", "a b c", "z", None, None], [3, 2, 9, None, 4]).selectExpr("*", "1 as _kept", "2 as _nth", "3 as kept_id", "4 as component_id")
+    out = nd.without_copies(spark, df)
+    assert out.columns == df.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 2, 4, 9]
 
 
 def test_signatures_estimate_similarity():
