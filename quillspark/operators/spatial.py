@@ -25,17 +25,21 @@ def in_rings(rings: Column, x: Column, y: Column) -> Column:
 def radius_join(points: DataFrame, key: str, group: str, radius: float) -> DataFrame:
     """key, other_key, distance of points of one group within the radius; a point isn't its own neighbour.
 
-    Points meet in grid cells as wide as the radius: the left side stays in its own, the right side is copied to the nine
-    around it, so that near points share exactly one cell.
+    Points meet in grid cells as wide as the radius: the left side stays in its own, the right side is copied to its own
+    and to four of the eight around it, so that near points of two cells meet once; each pair is then given both ways.
+    Both sides are shuffled as they are, so that Spark can split the partition of a dense cell.
     """
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     at = points.select(group, F.col(key), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    steps = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    steps = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
     near = at.select(group, F.col(key).alias(f"other_{key}"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy", F.explode(steps).alias("s"))
-    near = near.select(group, f"other_{key}", "ox", "oy", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
+    own_cell = (F.col("s.dx") == 0) & (F.col("s.dy") == 0)
+    near = near.select(group, f"other_{key}", "ox", "oy", own_cell.alias("own_cell"), (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
     both = at.join(near, [group, "cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
-    return both.where((F.col("distance") <= radius) & (F.col(key) != F.col(f"other_{key}"))).select(group, key, f"other_{key}", "distance")
+    both = both.where((F.col("distance") <= radius) & (F.col(key) != F.col(f"other_{key}")) & (~F.col("own_cell") | (F.col(key) < F.col(f"other_{key}"))))
+    ways = F.array(F.struct(F.col(key).alias("a"), F.col(f"other_{key}").alias("b")), F.struct(F.col(f"other_{key}").alias("a"), F.col(key).alias("b")))
+    return both.select(group, "distance", F.explode(ways).alias("w")).select(group, F.col("w.a").alias(key), F.col("w.b").alias(f"other_{key}"), "distance")
 
 
 def ring_distance(ring: Column, x: Column, y: Column) -> Column:
@@ -49,3 +53,13 @@ def ring_distance(ring: Column, x: Column, y: Column) -> Column:
         return F.sqrt(F.pow(x - ax - along * dx, F.lit(2)) + F.pow(y - ay - along * dy, F.lit(2)))
 
     return F.array_min(F.transform(edges, to))
+
+
+def rings_distance(rings: Column, x: Column, y: Column) -> Column:
+    """0 inside, else the least distance to any ring."""
+    return F.when(in_rings(rings, x, y), F.lit(0.0)).otherwise(F.array_min(F.transform(rings, lambda r: ring_distance(r, x, y))))
+
+
+def point_json(x: Column, y: Column) -> Column:
+    """A point as the JSON text that a feature service takes."""
+    return F.to_json(F.struct(x.alias("x"), y.alias("y")))

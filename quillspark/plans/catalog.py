@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
 from quillspark.operators import corpus, etl, lookup, search, spatial
+from quillspark.plans.staging import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,8 +33,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def doc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.lines(read(spark, sf_dir, "documents"), "doc_id")
+    return corpus.lines(texts(spark, sf_dir), "doc_id")
 
 
 @query(f"with {LINES} select doc_id, lineno, line from lines")
@@ -64,7 +69,7 @@ select doc_id, lineno, snippet from hit join kept using (doc_id, lineno)
 
 @query(WINDOW5)
 def search_window5_dedup(spark, sf_dir):
-    return search.greedy_dedup(search.window_search(doc_rows(spark, sf_dir), "doc_id", "the and"), ["doc_id"])
+    return search.document_search(texts(spark, sf_dir), "doc_id", "the and")
 
 
 @query(f"""
@@ -75,14 +80,8 @@ with {LINES}, q(query_id, ws) as (values (1, ['license', 'version']), (2, ['redi
 select * from one union all select * from wide where query_id not in (select query_id from one)
 """)
 def search_window3_fallback(spark, sf_dir):
-    asked = spark.createDataFrame([(1, ["license", "version"]), (2, ["redistribution", "license,"]), (3, ["the", "license"])], "query_id int, ws array<string>")
-    joined, _ = corpus.window_text("doc_id", 1)
-    rows = doc_rows(spark, sf_dir).select("doc_id", "lineno", "line", joined.alias("near"))
-    # the queries are a given list, so each line meets each of them
-    both = rows.join(F.broadcast(asked), F.exists("ws", lambda w: F.contains(F.lower("near"), w)))
-    out = lambda ok: both.where(ok).select("query_id", "doc_id", "lineno", t.snippet(F.col("line"), 150).alias("snippet"))
-    single = out(t.has_all(F.col("line"), F.col("ws")))
-    return search.with_fallback(single, out((F.size("ws") > 1) & t.has_all(F.col("near"), F.col("ws"))), "query_id")
+    asked = [(1, ["license", "version"]), (2, ["redistribution", "license,"]), (3, ["the", "license"])]
+    return search.document_search_or_wider(texts(spark, sf_dir), asked, "doc_id")
 
 
 @query(f"""
@@ -105,7 +104,7 @@ with {LINES}, hit as (select d.source, l.doc_id, l.lineno from lines l join docu
 select source, doc_id, lineno, n_more from r where i <= 20
 """)
 def search_topn_overflow(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir).where(t.all_words(F.col("text"), "the and"))
     hits = search.line_search(corpus.lines(docs.select(F.struct("doc_id", "source").alias("k"), "text"), "k"), "the and")
     return search.first_n(hits.select("k.source", "k.doc_id", "lineno"), "source", ["doc_id", "lineno"], 20)
 
@@ -266,9 +265,15 @@ def points(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", "label", at(0).alias("x"), at(1).alias("y"))
 
 
-@query("select label, round(avg(embedding[1]::double), 6) as x, round(avg(embedding[2]::double), 6) as y from embeddings group by label")
+@query("""
+with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings)
+select vec_id, round((x + (x + 2) + (x + 2) + x + x) / 5, 6) as x, round((y + y + (y + 1) + (y + 1) + y) / 5, 6) as y from p
+""")
 def spatial_centroid(spark, sf_dir):
-    return points(spark, sf_dir).groupBy("label").agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+    x, y, one = F.col("x"), F.col("y"), F.lit(1.0)
+    ring = F.array(F.array(x, y), F.array(x + 2 * one, y), F.array(x + 2 * one, y + one), F.array(x, y + one), F.array(x, y))
+    rows = points(spark, sf_dir).select("vec_id", F.explode(F.array(spatial.ring_centroid(F.array(ring)))).alias("c"))
+    return rows.select("vec_id", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
 
 
 @query("""
@@ -309,11 +314,21 @@ def etl_renumber(spark, sf_dir):
     return etl.renumber(doc_rows(spark, sf_dir), "doc_id", "^The ").select("doc_id", "lineno", "line_start")
 
 
+@query(rf"""
+with {LINES}, h as (select doc_id, lineno, regexp_extract(line, '^([A-Z]\w+) (.*)$', 1) as section, regexp_extract(line, '^([A-Z]\w+) (.*)$', 2) as t from lines where regexp_matches(line, '^([A-Z]\w+) (.*)$')),
+  c as (select doc_id, lineno, section, regexp_replace(regexp_replace(t, '\s*\.{{3,}}.*$', ''), '\s+Page\s+\d+$', '') as t from h),
+  e as (select doc_id, lineno, section, {STRIP.format("regexp_replace(t, '[.]+$', '')")} as title from c)
+select doc_id, lineno, section, title from e where not ends_with(title, ',')
+""")
+def etl_heading_index(spark, sf_dir):
+    return etl.heading_index(doc_rows(spark, sf_dir), "doc_id", r"^([A-Z]\w+) (.*)$")
+
+
 @query(r"""
 with h as (select page_id, regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1), '\.+$', '') as t from pages)
 select page_id, regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '') as title, regexp_replace(regexp_replace(t, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from h where t <> ''
 """)
-def etl_heading_index(spark, sf_dir):
+def page_titles(spark, sf_dir):
     title = t.clean_title(F.regexp_extract("html", "<h1[^>]*>(.*?)</h1>", 1))
     return read(spark, sf_dir, "pages").select("page_id", title.alias("title")).where("title <> ''").withColumn("slug", t.slug(F.col("title")))
 
@@ -332,9 +347,23 @@ def etl_sections(spark, sf_dir):
     return rows.groupBy("doc_id", "section").agg(F.min("lineno").alias("first_line"), F.max("lineno").alias("last_line"))
 
 
-@query("select event_type, case when regexp_matches(lower(event_type), '^(section[:\\s-]+)?[ivx]+$') then upper(event_type) end as roman, count(*) as n from events group by event_type")
+@query(WINDOW5)
+def search_window5_lines(spark, sf_dir):
+    return search.greedy_dedup(search.window_search(doc_rows(spark, sf_dir), "doc_id", "the and"), ["doc_id"])
+
+
+ASKED = {0: "IV", 1: "section: iv", 2: "civil", 3: " Section-X", 4: "XI", 5: "vi"}
+
+
+@query("""
+with q as (select event_id, case event_id % 6 when 0 then 'IV' when 1 then 'section: iv' when 2 then 'civil' when 3 then ' Section-X' when 4 then 'XI' else 'vi' end as q from events),
+  r as (select event_id, q, upper(regexp_extract(trim(q), '^(?i:section[:\\s-]+)?([ivxIVX]+)$', 1)) as r from q)
+select event_id, q, case when r in ('I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X') then r end as roman from r
+""")
 def route_roman(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", t.roman_route(F.col("event_type")).alias("roman"), "n")
+    asked = F.create_map(*[F.lit(x) for pair in ASKED.items() for x in pair])
+    rows = read(spark, sf_dir, "events").select("event_id", F.element_at(asked, (F.col("event_id") % 6).cast("int")).alias("q"))
+    return rows.select("event_id", "q", t.roman_route(F.col("q")).alias("roman"))
 
 
 @query("select p_partkey, case when p_size % 10 = 0 then 3 else 3 + 1 end::int as level, p_size // 10 || '.' || p_size % 10 as number from part")

@@ -22,6 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _roots[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in as many partitions as there are cores, where a table of few row groups has fewer.
+
+    Only tables that are small against the cluster are shuffled by this; others stay as they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a staged table."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
