@@ -53,7 +53,8 @@ def label_of(code: Column, labels: dict[str, str]) -> Column:
 
 
 def currency(value: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("$"), F.format_number(value, 0)), F.lit("N/A"))
+    """Whole dollars; what is no number stays as it is, and null is N/A."""
+    return F.coalesce(F.concat(F.lit("$"), F.format_number(value.try_cast("double"), 0)), value.cast("string"), F.lit("N/A"))
 
 
 def feet(value: Column, note: Column) -> Column:
@@ -82,10 +83,13 @@ def article_of(number: Column) -> Column:
     return F.when(n.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(14), F.floor(n / 100)))).cast("long")
 
 
+ROMANS = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")
+
+
 def roman_route(query: Column) -> Column:
     """The roman numeral that a query asks for, if it is one of I to X."""
     found = F.upper(F.regexp_extract(strip(query), r"(?i)^(?:section[:\s-]+)?([ivx]+)$", 1))
-    return F.when(found.isin("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X"), found)
+    return F.when(found.isin(*ROMANS), found)
 
 
 def slug(name: Column) -> Column:
@@ -104,6 +108,26 @@ def heading_level(number: Column) -> Column:
     return F.when(F.regexp_like(number, F.lit(r"^\d{1,2}\.0$")), 3).otherwise(3 + F.size(F.split(number, r"\.")) - 1)
 
 
+def unquoted(title: Column) -> Column:
+    """Without straight or curly quotes at either end."""
+    return F.btrim(title, F.lit('"\u201c\u201d'))
+
+
+def provision_id(section: Column, number: Column) -> Column:
+    """Section and number as one id; blanks of a number such as "Item A" become hyphens."""
+    return F.concat_ws("-", section, F.replace(number, F.lit(" "), F.lit("-")))
+
+
+def criteria_label(all_required: Column, any_triggers: Column) -> Column:
+    """How a list of criteria is to be read; the first flag that holds decides."""
+    return F.when(F.coalesce(all_required, F.lit(False)), "Criteria (ALL required):").when(F.coalesce(any_triggers, F.lit(False)), "Criteria (ANY triggers this type):").otherwise("Criteria:")
+
+
+def chapter_order(number: Column) -> Column:
+    """The place of a chapter by its number, 999 where there is none."""
+    return F.coalesce(number.try_cast("int"), F.lit(999))
+
+
 def human(key: Column) -> Column:
     return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))
 

@@ -31,15 +31,27 @@ def alternatives(codes: list[str], per_code: Column) -> Column:
     return F.filter(F.array(*map(F.lit, codes)), lambda c: F.try_element_at(per_code, c).isNotNull())
 
 
-def routed(query: Column, aliases: dict[str, list[str]], default: str) -> Column:
-    """Facets whose alias is part of the query, or the default one."""
+def or_alternatives(hits: DataFrame, known: DataFrame) -> DataFrame:
+    """The hits, found; or, if there are none, the known rows instead, not found."""
+    n = hits.agg(F.count("*").alias("_n"))  # one row
+    other = known.join(F.broadcast(n)).where("_n = 0").drop("_n").withColumn("found", F.lit(False))
+    return hits.withColumn("found", F.lit(True)).unionByName(other, allowMissingColumns=True)
+
+
+def file_of_article(number: Column, files: dict[int, str]) -> Column:
+    """The file that holds an article."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in files.items() for x in pair]), number.cast("int"))
+
+
+def routed(query: Column, aliases: dict[str, list[str]], default: str | None) -> Column:
+    """Facets whose alias is part of the query, or the default one; without a default none."""
     facets = list(dict.fromkeys(x for to in aliases.values() for x in to))
     flag = {f: F.lit(False) for f in facets}
     for alias, to in aliases.items():
         for f in to:
             flag[f] = flag[f] | F.contains(query, F.lit(alias))
     found = F.array_compact(F.array(*(F.when(flag[f], F.lit(f)) for f in facets)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+    return found if default is None else F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
 
 
 def jurisdiction(inside: Column, extended: Column, inside_failed: Column, extended_failed: Column) -> Column:

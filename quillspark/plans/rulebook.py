@@ -7,13 +7,15 @@ principal       ord, district, use_type, density, min_lot_size, and numbers in f
 accessory       ord, district, setbacks and notes
 districts       ord, code, name, section, intent, character, key_rules
 special, general    ord, section, title, summary, file, line_start: indices into a corpus
+rules           kind, text: what holds for all districts that have standards (optional)
 subdivision     facet (types, improvements, plats, procedures), ord, key, name, section, summary
 ordinance, statutes, town, personnel    file, lineno, line: corpora
 town_index, personnel_index    ord, id, number, section, title, chapter, file, line_start
 parcels         pin, parcel_id, owner, owner2, address, deed_acres, calc_acres, parent_pin, total_value, rings
-zones, extended, corporate    ord, name, rings: polygon layers
+zones, extended, corporate    ord, name, rings: polygon layers; a layer that is missing counts as one that failed
 """
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -21,15 +23,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as t
-from quillspark.operators import lookup, search, spatial
+from quillspark.operators import corpus, lookup, search, spatial
 
-PERMISSIONS = {"X": "Permitted", "C": "Permitted with conditions", "S": "Special use permit"}
+#: Labels of permissions, words that route a question about subdivision to its facets, and words that show whole facets.
+PERMISSIONS = {"X": "Permitted by Right", "C": "Conditional Zoning", "S": "Special Use"}
 ROUTES = {
-    "types": ["major", "minor", "exempt", "subdivision type"],
-    "improvements": ["improvement", "street", "sidewalk", "water", "sewer", "drainage", "park"],
-    "plats": ["plat", "survey", "drawing"],
-    "procedures": ["procedure", "process", "approval", "appeal"],
+    "lot split": ["types"],
+    "parcel division": ["types"],
+    "two-lot": ["types"],
+    "2-lot": ["types"],
+    "plat": ["plats", "procedures"],
+    "plat approval": ["plats", "procedures"],
+    "process": ["types"],
+    "approval": ["types", "procedures"],
+    "improvements": ["improvements"],
+    "infrastructure": ["improvements"],
+    "guarantee": ["improvements"],
+    "performance": ["improvements"],
 }
+PLAT_WORDS = ["plat", "sketch", "preliminary", "engineering", "drawing", "final plat"]
+PROCEDURE_WORDS = ["procedure", "permit", "zoning permit", "open space subdivision"]
+WHOLE = ["all", "overview", "improvements", "infrastructure"]
 MOST = {"uses": 15, "text": 20, "titles": 20, "statutes": 30, "parcels": 25, "provisions": 50}
 BODIES = 8
 
@@ -85,28 +99,29 @@ class RuleBook:
         code = self.code(district)
         parts = {"principal": self.principal, "accessory": self.accessory}
         out = [p.where(F.col("district") == code).withColumn("kind", F.lit(k)) for k, p in parts.items()]
-        return out[0].unionByName(out[1], allowMissingColumns=True)
+        found = out[0].unionByName(out[1], allowMissingColumns=True)
+        if "rules" not in self.tables:
+            return found
+        # rules and notes are given with standards only
+        rules = self.rules.withColumn("district", F.lit(code)).join(found.select("district").distinct(), "district", "left_semi")
+        return found.unionByName(rules, allowMissingColumns=True)
 
     def district_info(self, code: str) -> DataFrame:
         """One district, or all of them."""
         return self.districts if code.strip().lower() == "all" else self.districts.where(F.col("code") == self.code(code))
 
+    def use_or_alternatives(self, use: str) -> DataFrame:
+        """The uses that match, or all of them as not found."""
+        return lookup.or_alternatives(self._uses(use).drop("tier").select("ord", "use"), self.uses.select("ord", "use"))
+
     def list_districts(self) -> DataFrame:
         return self.districts.select("ord", "code", "name", "character").orderBy("ord")
 
     # sections
 
-    def _slices(self, hits: DataFrame, lines: DataFrame, boundary, key: str = "section") -> DataFrame:
-        """hits with body: the lines from line_start to the next boundary; boundary takes the hit's columns and the line."""
-        at = hits.select("file", "line_start", *[c for c in hits.columns if c not in ("file", "line_start")])
-        rows = at.join(lines, "file").where("lineno >= line_start")
-        per = Window.partitionBy("file", "line_start", key)
-        first = F.max(F.when(F.col("lineno") == F.col("line_start"), F.col("line"))).over(per)
-        rows = rows.withColumn("_first", first)
-        end = F.min(F.when((F.col("lineno") > F.col("line_start")) & boundary(F.col("line"), F.col("_first")), F.col("lineno"))).over(per)
-        rows = rows.withColumn("_end", end).where("_end is null or lineno < _end")
-        body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lineno", "line"))), lambda x: x["line"]), "\n")
-        return rows.groupBy(*at.columns).agg(t.strip(body).alias("body"))
+    def _slices(self, hits: DataFrame, lines: DataFrame, boundary: Column) -> DataFrame:
+        """hits with body: the lines from line_start to the next boundary."""
+        return corpus.bodies(hits, corpus.slice_ends(lines, ["file"], "lineno", boundary))
 
     def _section(self, index: DataFrame, query: str, ci: bool = False, prefix: str = "", more: tuple[str, ...] = ("title", "summary"), key: str = "section") -> DataFrame:
         """Index rows of the first tier that has any: exact id, id with prefix, then a keyword in each further column."""
@@ -117,20 +132,23 @@ class RuleBook:
         return lookup.first_tier(index.withColumn("_q", F.lit(0)), "_q", tiers).drop("_q", "tier")
 
     def special_requirements(self, query: str) -> DataFrame:
-        return self._slices(self._section(self.special, query), self.ordinance, lambda line, _: F.startswith(line, F.lit("## Section 8.")))
+        return self._slices(self._section(self.special, query), self.ordinance, F.startswith("line", F.lit("## Section 8.")))
 
     def general_provisions(self, query: str) -> DataFrame:
         """all gives every entry; a lettered section ends at the next letter too."""
         hits = self.general if query.strip().lower() == "all" else self._section(self.general, query)
+        heading = F.startswith("line", F.lit("## Section"))
         lettered = F.startswith("section", F.lit("2.2")) & (F.length("section") > 3)
-        return self._slices(hits, self.ordinance, lambda line, _: F.startswith(line, F.lit("## Section")) | (lettered & F.regexp_like(line, F.lit(r"^[A-Z]\."))))
+        parts = [(hits.where(~lettered), heading), (hits.where(lettered), heading | F.regexp_like("line", F.lit(r"^[A-Z]\.")))]
+        return self._slices(parts[0][0], self.ordinance, parts[0][1]).unionByName(self._slices(parts[1][0], self.ordinance, parts[1][1]))
 
     def statute_section(self, section: str, chapter: str = "160D") -> DataFrame:
         """The section of exactly this id, under a heading of level 2 or 3."""
         number = section.strip().upper().removeprefix(f"{chapter.upper()}-").lower()
         heads = self.statutes.where(F.regexp_like("line", F.lit(rf"^#{{2,3}}\s+\S"))).withColumn("section", F.regexp_extract("line", rf"^#{{2,3}}\s+(?i:{chapter})-(\d+[A-Za-z]?(?:\.\d+)?)\b", 1))
         hits = heads.where(F.lower("section") == number).select("file", F.col("lineno").alias("line_start"), "section", F.col("line").alias("title"))
-        return self._slices(hits, self.statutes, lambda line, first: F.regexp_like(line, F.lit(r"^#{2,3} ")) & (F.length(F.regexp_extract(line, "^(#+)", 1)) <= F.length(F.regexp_extract(first, "^(#+)", 1))))
+        level = F.when(F.regexp_like("line", F.lit(r"^#{2,3} ")), F.length(F.regexp_extract("line", "^(#+)", 1)))
+        return corpus.bodies(hits, corpus.level_slice_ends(self.statutes, ["file"], "lineno", level, range(2, 4)))
 
     def ordinance_section(self, query: str) -> DataFrame:
         """chapter:N lists a chapter; otherwise the section's text."""
@@ -138,38 +156,51 @@ class RuleBook:
         if route.strip().lower() == "chapter" and n:
             bare = lambda c: F.regexp_replace(c, "^0+", "")
             return self.town_index.where(bare(F.col("chapter")) == n.strip().lstrip("0")).orderBy("ord")
-        return self._slices(self._section(self.town_index, query, prefix="-", more=("title",)), self.town, lambda line, _: F.regexp_like(line, F.lit(r"^#{2,4}\s+Sec\.")))
+        return self._slices(self._section(self.town_index, query, prefix="-", more=("title",)), self.town, F.regexp_like("line", F.lit(r"^#{2,4}\s+Sec\.")))
 
     def personnel_policy(self, query: str) -> DataFrame:
         """A roman numeral lists its section, more than BODIES hits are listed, fewer come with their text."""
-        roman = self.personnel_index.sparkSession.range(1).select(t.roman_route(F.lit(query))).first()[0]
-        hits = self.personnel_index.where(F.upper("section") == roman) if roman else None
-        if hits is None:
-            own, q = F.col("id"), query.strip().lower()
-            t.words(query)
-            tiers = [F.lower(own) == q, F.lower("number") == q, t.contains_ci(F.col("title"), q)]
-            hits = lookup.first_tier(self.personnel_index.withColumn("_q", F.lit(0)), "_q", tiers).drop("_q", "tier")
-        if roman or len(hits.select("id").limit(BODIES + 1).collect()) > BODIES:
-            one = search.first_n(hits.withColumn("_all", F.lit(0)), "_all", ["ord"], MOST["provisions"])
-            return one.drop("_all").withColumn("body", F.lit(None).cast("string"))
-        level = lambda line: F.length(F.regexp_extract(line, "^(#{2,6}) ", 1))
-        own_level = lambda first: F.when(level(first) > 0, level(first)).otherwise(6)
-        return self._slices(hits, self.personnel, lambda line, first: (level(line) > 0) & (level(line) <= own_level(first)), "id")
+        t.words(query)
+        roman = re.fullmatch(r"(?:section[:\s-]+)?([ivx]+)", query.strip().lower())
+        roman = roman[1].upper() if roman and roman[1].upper() in t.ROMANS else None
+        hits = self.personnel_index.withColumn("_all", F.lit(0))
+        if roman:
+            hits = hits.where(F.upper("section") == roman).withColumn("tier", F.lit(0))
+        else:
+            q = query.strip().lower()
+            hits = lookup.first_tier(hits, "_all", [F.lower("id") == q, F.lower("number") == q, t.contains_ci(F.col("title"), q)])
+        hits = search.first_n(hits.drop("tier"), "_all", ["ord"], MOST["provisions"])
+        n = F.count("*").over(Window.partitionBy("_all"))  # at most as many as are listed
+        hits = hits.withColumn("_listed", (n > BODIES) | F.lit(bool(roman))).drop("_all")
+        level = F.when(F.regexp_like("line", F.lit("^#{2,6} ")), F.length(F.regexp_extract("line", "^(#{2,6}) ", 1)))
+        ends = corpus.level_slice_ends(self.personnel, ["file"], "lineno", level, range(2, 7), F.coalesce(level, F.lit(6)))
+        with_text = corpus.bodies(hits.where("not _listed"), ends)
+        return hits.where("_listed").withColumn("body", F.lit(None).cast("string")).unionByName(with_text).drop("_listed")
 
     def subdivision_requirements(self, query: str) -> DataFrame:
-        """Entries of the facets that the query speaks of: by keyword, or as an entry's key, name or words are in it."""
+        """Entries of the facets that the query speaks of.
+
+        Aliases and fixed words in the query route to facets; so do a type's key or name in the query, and any word of the
+        query in an improvement. Without a route the types are given. Improvements are those that hold a word, unless the
+        query asks for them as a whole.
+        """
+        t.words(query)
         q = query.strip().lower()
-        rows = self.subdivision
+        rows = self.subdivision.withColumn("_q", F.lit(0))
         if q in ("all", "overview"):
-            return rows
-        t.words(query)
-        routed = {f for f, words in ROUTES.items() if any(w in q for w in words)}
-        named = F.contains(F.lit(q), F.replace(F.lower("key"), F.lit("_"), F.lit(" "))) | F.coalesce(F.contains(F.lit(q), F.lower("name")), F.lit(False))
-        about = t.any_word(F.concat_ws(" ", F.replace(F.col("key"), F.lit("_"), F.lit(" ")), "summary"), query)
-        if routed:
-            return rows.where(F.col("facet").isin(*routed) | named)
-        rows = rows.withColumn("_q", F.lit(0))
-        return lookup.first_tier(rows, "_q", [named, (F.col("facet") == "improvements") & about, F.col("facet") == "types"]).drop("_q", "tier")
+            return rows.drop("_q")
+        facet, text = F.col("facet"), F.lit(q)
+        told = [f for f, words in (("plats", PLAT_WORDS), ("procedures", PROCEDURE_WORDS)) if any(w in q for w in words)]
+        routed = F.concat(lookup.routed(text, ROUTES, None), F.array(*map(F.lit, told)).cast("array<string>"))
+        named = (facet == "types") & (F.contains(text, F.col("key")) | F.coalesce(F.contains(text, F.lower("name")), F.lit(False)))
+        about = (facet == "improvements") & t.any_word(F.concat_ws(" ", "key", "summary"), query)
+        over = Window.partitionBy("_q")  # an index of a few entries
+        any_ = lambda c: F.coalesce(F.max(c).over(over), F.lit(False))
+        rows = rows.withColumn("_about", about).withColumn("_types", any_(named)).withColumn("_improvements", any_(about)).withColumn("_routed", routed)
+        shown = F.array_contains("_routed", facet) | ((facet == "types") & F.col("_types")) | ((facet == "improvements") & F.col("_improvements"))
+        none = (F.size("_routed") == 0) & ~F.col("_types") & ~F.col("_improvements")
+        kept = F.when(facet == "improvements", F.col("_about") | F.lit(q in WHOLE)).otherwise(True)
+        return rows.where((shown & kept) | (none & (facet == "types"))).drop("_q", "_about", "_types", "_improvements", "_routed")
 
     # searches
 
@@ -234,6 +265,8 @@ class RuleBook:
 
     def _zone_at(self, points: DataFrame, layer: str, name: str) -> DataFrame:
         """pin and the first polygon of a layer that holds its point."""
+        if layer not in self.tables:
+            return points.select("pin", F.lit(None).cast("string").alias(name))
         hit = points.join(self.tables[layer].select("ord", F.col("name").alias(name), "rings"), spatial.in_rings(F.col("rings"), F.col("x"), F.col("y")))
         return lookup.first_match(hit.select("pin", "ord", name), "pin", "ord").select("pin", name)
 
@@ -250,30 +283,37 @@ class RuleBook:
         return self.parcels.where(F.contains(F.upper("owner"), part) | F.coalesce(F.contains(F.upper("owner2"), part), F.lit(False)))
 
     def parcel_info(self, pin: str | None = None, address: str | None = None, owner: str | None = None) -> DataFrame:
-        """Parcels (the first of many, with the rest counted) with zone, jurisdiction, flags and the zone's first standard."""
+        """Parcels (the first of many, with the rest counted) with zone, jurisdiction, flags and the zone's first standard.
+
+        failed_layers lists the layers that could not be asked; the jurisdiction is unknown if both of its layers are among them.
+        """
         rows = search.first_n(self._found(pin, address, owner).withColumn("_all", F.lit(0)), "_all", ["pin"], MOST["parcels"]).drop("_all")
         points = rows.select("pin", spatial.ring_centroid(F.col("rings")).alias("c")).where("c is not null").select("pin", "c.x", "c.y")
         for layer, name in (("zones", "zone"), ("extended", "extended_area"), ("corporate", "town")):
             rows = rows.join(self._zone_at(points, layer, name), "pin", "left")
         first = lookup.first_match(self.principal.select("district", "ord", "use_type", "min_street_frontage_ft"), "district", "ord").drop("ord").withColumnRenamed("district", "zone_code")
         rows = rows.withColumn("zone_code", t.canonical_code(F.col("zone"), self.aliases) if self.aliases else F.col("zone")).join(first, "zone_code", "left")
-        no = F.lit(False)
-        place = lookup.jurisdiction(F.col("town").isNotNull(), F.col("extended_area").isNotNull(), no, no)
+        no, failed = F.lit(False), [x for x in ("zones", "extended", "corporate") if x not in self.tables]
+        place = lookup.jurisdiction(F.col("town").isNotNull(), F.col("extended_area").isNotNull(), F.lit("corporate" in failed), F.lit("extended" in failed))
         return rows.withColumns({
             "jurisdiction": F.when(F.size("rings") > 0, place), "total": t.currency(F.col("total_value")),
+            "in_extended_area": (F.size("rings") > 0) & F.col("town").isNull() & F.col("extended_area").isNotNull(),
+            "failed_layers": F.lit(",".join(failed)), "frontage_advice": F.when(F.col("min_street_frontage_ft") > 0, F.format_string("%d ft street frontage", "min_street_frontage_ft")),
             "acreage_differs": t.differs(F.col("deed_acres").cast("string"), F.col("calc_acres").cast("string"), 0.1),
             "was_split": F.coalesce(F.col("parent_pin") != "", no), "street": t.street(F.col("address")),
         })
 
     def infill_context(self, pin: str, radius: float = 300.0) -> DataFrame:
-        """Parcels of the same zone whose rings come within the radius of the subject's centroid; same_street parts them."""
+        """Parcels of the same zone whose rings come within the radius of the subject's centroid; same_street parts them, and
+        n_in_part counts each part."""
         subject = self._found(pin, None, None).select(F.col("pin").alias("own_pin"), t.street(F.col("address")).alias("own_street"), spatial.ring_centroid(F.col("rings")).alias("c"))
         subject = subject.where("c is not null").limit(1).select("own_pin", "own_street", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
-        near = spatial.in_rings(F.col("rings"), F.col("x"), F.col("y")) | (spatial.ring_distance(F.get("rings", F.lit(0)), F.col("x"), F.col("y")) <= radius)
+        near = spatial.rings_distance(F.col("rings"), F.col("x"), F.col("y")) <= radius
         # one subject, so the join is a filter with its values
         rows = self.parcels.join(F.broadcast(subject), near & (F.size("rings") > 0) & (F.col("pin") != F.col("own_pin")))
         points = rows.select("pin", spatial.ring_centroid(F.col("rings")).alias("c")).select("pin", "c.x", "c.y")
         own = self._zone_at(subject.select(F.col("own_pin").alias("pin"), "x", "y"), "zones", "zone").withColumnRenamed("pin", "own_pin")
         rows = rows.join(self._zone_at(points, "zones", "zone"), "pin").join(own, ["own_pin", "zone"])
         street = t.street(F.col("address"))
-        return rows.select("own_pin", "pin", "address", "zone", F.coalesce(street == F.col("own_street"), F.lit(False)).alias("same_street"))
+        rows = rows.select("own_pin", "pin", "address", "zone", F.coalesce(street == F.col("own_street"), F.lit(False)).alias("same_street"))
+        return rows.withColumn("n_in_part", F.count("*").over(Window.partitionBy("own_pin", "same_street")))

@@ -49,7 +49,7 @@ def book(spark):
 
 def test_uses(book):
     rows = book.permitted_use("KENNEL").orderBy("place").collect()
-    assert [(r["district"], r["permission"]) for r in rows] == [("R-1", "Permitted with conditions"), ("C-B", "Permitted"), ("PUD", None)]
+    assert [(r["district"], r["permission"]) for r in rows] == [("R-1", "Conditional Zoning"), ("C-B", "Permitted by Right"), ("PUD", None)]
     assert [r["use"] for r in book.permitted_use("animals", "r1").orderBy("ord").collect()] == ["Dog kennel", "Animal clinic"]
     assert [r["permission"] for r in book.permitted_use("clinic", "R-1").collect()] == ["odd"]
     with pytest.raises(ValueError):
