@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions import text as t
+
 
 def first_tier(rows: DataFrame, query_key: str, tiers: list[Column]) -> DataFrame:
     """Rows of the first tier that has any row for the query; adds tier from 0. Rows outside all tiers go."""
@@ -22,7 +24,7 @@ def first_match(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def csv_join(rows: DataFrame, csv: str, separator: str, index: DataFrame, on: str) -> DataFrame:
     """A row for each item of a separated list that the index knows; unknown items are dropped."""
-    items = rows.withColumn(on, F.explode(F.transform(F.split(csv, separator), F.trim)))
+    items = rows.withColumn(on, F.explode(F.transform(F.split(csv, separator), lambda x: t.strip(x))))
     return items.join(index, on)
 
 

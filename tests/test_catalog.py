@@ -1,7 +1,7 @@
 import pytest
 
 from oracle import spark_rows, sql_rows
-from quillspark.plans import catalog
+from quillspark.plans import catalog, tools  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))

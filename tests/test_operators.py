@@ -158,6 +158,88 @@ def test_files(spark, tmp_path):
     assert [r["a"] for r in spark.table("r").collect()] == [1, None]
 
 
+def test_writers(spark, tmp_path):
+    import json
+    import os
+
+    index = spark.createDataFrame([(2, "b", 7), (1, "a", None)], "ord int, section string, line_start int")
+    files.write_index(index, f"{tmp_path}/index", "ord")
+    part = next(f for f in os.listdir(f"{tmp_path}/index") if f.startswith("part-"))
+    assert json.loads((tmp_path / "index" / part).read_text()) == [{"section": "a"}, {"section": "b", "line_start": 7}]
+    files.write_sections(spark.createDataFrame([("Section 01, A.md", "x\ny"), ("b.md", "z")], "file string, text string"), f"{tmp_path}/out")
+    assert (tmp_path / "out" / "Section 01, A.md").read_text().rstrip("\n") == "x\ny" and (tmp_path / "out" / "b.md").is_file()
+    assert files.first_file(files.corpus(spark, f"{tmp_path}/out/*.md"), "b").first()["file"] == "b.md"
+
+
+def test_named_datasets(spark, tmp_path):
+    (tmp_path / "permitted_uses.json").write_text('[{"use": "kennel", "districts": {"A": "X"}, "other": 1}, {"use": "tower"}]')
+    (tmp_path / "districts.json").write_text('{"Z": {"name": "last", "key_rules": ["a", "b"]}, "A": {"name": "first"}}')
+    (tmp_path / "dimensional_standards.json").write_text('{"principal_structures": [{"district": "A", "min_width_ft": 0}], "accessory_structures": [{"district": "Z", "setback_rear_ft": 5}]}')
+    (tmp_path / "subdivision_index.json").write_text('{"types": {"minor": {"name": "Minor", "criteria": ["x"], "any_criteria_triggers": true}}, "plat_requirements": {}}')
+    at = lambda name: files.dataset(spark, str(tmp_path), name).collect()
+    assert [(r["ord"], r["use"], r["districts"]) for r in at("permitted_uses")] == [(0, "kennel", {"A": "X"}), (1, "tower", None)]
+    assert [(r["ord"], r["key"], r["name"], r["key_rules"]) for r in at("districts")] == [(0, "Z", "last", ["a", "b"]), (1, "A", "first", None)]
+    assert at("principal_structures")[0]["min_width_ft"] == 0 and at("accessory_structures")[0]["setback_rear_ft"] == 5
+    types = files.dataset(spark, str(tmp_path), "types")
+    assert types.select("key", t.criteria_label(F.col("all_criteria_required"), F.col("any_criteria_triggers"))).first()[1] == "Criteria (ANY triggers this type):"
+    assert at("plat_requirements") == []
+
+
+def test_features_and_extracted_text(spark, tmp_path):
+    (tmp_path / "f.json").write_text('{"features": [{"attributes": {"PIN": "1", "DEEDACRE": 1.5}, "geometry": {"rings": [[[0, 0], [1, 0], [0, 0]]]}}, {"attributes": {"PIN": "2"}}]}')
+    rows = files.features(spark, str(tmp_path / "f.json"), "PIN: string, DEEDACRE: double").orderBy("PIN").collect()
+    assert [(r["PIN"], r["DEEDACRE"], r["rings"]) for r in rows] == [("1", 1.5, [[[0.0, 0.0], [1.0, 0.0], [0.0, 0.0]]]), ("2", None, None)]
+    (tmp_path / "x.bin").write_bytes(b"ab")
+    assert [tuple(r) for r in files.extracted(spark, f"{tmp_path}/x.bin", lambda b: b.decode().upper()).collect()] == [("x.bin", "AB")]
+    one = spark.sql("select 1.0D as x, 2.5D as y").select(spatial.point_json(F.col("x"), F.col("y"))).first()[0]
+    assert one == '{"x":1.0,"y":2.5}'
+
+
+def test_keeping_reader_joins_to_the_text(spark):
+    df = spark.createDataFrame([(1, "a\n\nb\n"), (2, ""), (3, None)], "id int, text string")
+    rows = corpus.lines_kept(df, "id").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lineno", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    assert {r["id"]: r["t"] for r in rows.collect()} == {1: "a\n\nb\n", 2: "", 3: ""}
+
+
+def test_section_starts_go_on_behind_each_other(spark):
+    text = "   SECTION I\ncontents\nSECTION I\nbody one\nEND OF SECTION I\n  SECTION II\nmore\n SECTION II\nx\nSECTION I\ny"
+    rows = etl.section_bodies(corpus.lines(spark.createDataFrame([(1, text)], "id int, text string"), "id"), "id", ["I", "II", "III"])
+    assert sorted((r["section"], r["first_line"], r["last_line"], r["body"]) for r in rows.collect()) == [("I", 4, 4, "body one"), ("II", 7, 11, "more\n SECTION II\nx\nSECTION I\ny")]
+
+
+def test_provisions_and_ids(spark):
+    text = '1.0  FOREWORD ...... Page 3\n2.08 Leave, an employee,\n1.04.01 Full time\nITEM B)  "\u201cRequest\u201d"\n401 (k)'
+    df = etl.provisions(corpus.lines(spark.createDataFrame([(1, text)], "id int, text string"), "id"), "id").withColumn("pid", t.provision_id(F.lit("II"), F.col("number")))
+    assert [(r["number"], r["title"], r["level"], r["pid"]) for r in df.orderBy("lineno").collect()] == [("1.0", "FOREWORD", 3, "II-1.0"), ("1.04.01", "Full time", 5, "II-1.04.01"), ("Item B", "Request", 3, "II-Item-B")]
+    files_ = {1: "one.md", 14: "last.md"}
+    assert [one(spark, x, lambda c: lookup.file_of_article(t.article_of(c), files_)) for x in ("108", "2000", "abc", "700")] == ["one.md", "last.md", None, None]
+    assert [one(spark, x, t.chapter_order) for x in ("07", "x", None)] == [7, 999, 999]
+    assert one(spark, "n/a", t.currency) == "n/a" and one(spark, ["x", "y"], t.numbered, "array<string>") == ["1. x", "2. y"]
+
+
+def test_items_of_a_list_lose_blanks_only(spark):
+    index = spark.createDataFrame([("8.2", "t"), ("9.1", "u")], "section string, title string")
+    out = lookup.csv_join(spark.createDataFrame([("a", "8.2, 8.2,\t9.1 ")], "use string, ids string"), "ids", ",", index, "section")
+    assert sorted(r["section"] for r in out.collect()) == ["8.2", "8.2", "9.1"]
+
+
+def test_not_found_lists_what_there_is(spark):
+    known = spark.createDataFrame([("a",), ("b",)], "use string")
+    assert render.outcome(lookup.or_alternatives(known.where("use = 'a'"), known), "use", "use") == "a"
+    assert render.outcome(lookup.or_alternatives(known.where("false"), known), "use", "use") == "No use found. Available: a, b"
+    df = spark.createDataFrame([("R-1", None, ["x", "y"], 3)], "code string, note string, rules array<string>, n_more int")
+    assert render.cards(df, "code", {"note": "Note", "rules": "Rules"}) == "## R-1\n**Rules:** x, y"
+    assert render.listing(df, "{code}") == "- R-1\n... and 3 more"
+
+
+def test_documents_search_equals_lines_search(spark):
+    texts = ["a the\nb\n\nand c", "THE and", "the", None, "", "x\rthe\r\ny\n\n\nand\nthe\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for query in ("the and", "the", "and the and", "x y"):
+        want = search.greedy_dedup(search.window_search(corpus.lines(df, "id"), "id", query), ["id"])
+        assert sorted(map(tuple, search.document_search(df, "id", query).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_render(spark):
     assert render.table(spark.createDataFrame([(1, "a|b"), (2, None)], "x int, y string"), 1) == "| x | y |\n|---|---|\n| 1 | a\\|b |\n\n... and more"
     assert render.blocks(["a", "", "b"]) == "a\n\n---\n\nb"

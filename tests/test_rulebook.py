@@ -98,6 +98,28 @@ def test_subdivision(book):
     assert keys("final plat") == {"final"} and keys("hydrants") == {"water_lines"} and keys("zzz") == {"minor", "major"}
 
 
+def test_subdivision_routes(book):
+    facets = lambda q: sorted({r["facet"] for r in book.subdivision_requirements(q).collect()})
+    assert facets("lot split") == facets("two-lot") == ["types"] and facets("guarantee") == []
+    assert facets("zoning permit") == [] and facets("improvements") == facets("infrastructure") == ["improvements"]
+    assert facets("minor hydrants") == ["improvements", "types"]
+
+
+def test_layers_that_fail(book, spark):
+    part = RuleBook(book.codes, {k: v for k, v in book.tables.items() if k not in ("extended", "corporate")}, aliases=book.aliases)
+    assert [(r["jurisdiction"], r["failed_layers"], r["zone_code"]) for r in part.parcel_info(pin="1").collect()] == [("unknown", "extended,corporate", "R-1")]
+    one = RuleBook(book.codes, {k: v for k, v in book.tables.items() if k != "corporate"}, aliases=book.aliases)
+    assert [(r["jurisdiction"], r["failed_layers"]) for r in one.parcel_info(pin="1").collect()] == [("outside", "corporate")]
+    assert [r["in_extended_area"] for r in book.parcel_info(pin="4").collect()] == [True]
+    assert {r["pin"]: r["n_in_part"] for r in book.infill_context("1").collect()} == {"2": 1, "3": 1}
+
+
+def test_rules_come_with_standards_only(book, spark):
+    more = RuleBook(book.codes, book.tables | {"rules": spark.createDataFrame([("rule", "x")], "kind string, text string")})
+    assert sorted(r["kind"] for r in more.dimensional_standards("R-1").collect()) == ["accessory", "principal", "principal", "rule"]
+    assert more.dimensional_standards("PUD").count() == 0
+
+
 def test_searches(book):
     found = lambda df: {(r["branch"], r["key"]) for r in df.collect()}
     assert found(book.search_ordinance("noise kennel")) == {("uses", "0"), ("special", "8.1"), ("text", "o:7")}
