@@ -37,10 +37,47 @@ def test_odd_tables(spark, docs_of):
     assert toxicity.score(spark, docs_of([]), labels).count() == 0
 
 
-def test_label_model_finds_the_good_voters():
+def test_label_model_equals_brute_force():
+    """Posteriors against the joint rates of all votes, written out voter by voter."""
     rng = np.random.default_rng(0)
-    y = rng.random(5000) < 0.2
-    votes = np.column_stack([np.where(rng.random(5000) < q, y, rng.random(5000) < 0.2) for q in (0.95, 0.9, 0.0)])
-    noisy = np.where(rng.random(5000) < 0.1, ~y, y)
-    post = toxicity.label_model(votes, noisy)
-    assert ((post > 0.5) == y).mean() > (noisy == y).mean()
+    y = rng.random(4000) < 0.25
+    first = np.where(y, rng.random(4000) < 0.8, rng.random(4000) < 0.05)
+    echo = np.where(rng.random(4000) < 0.9, first, rng.random(4000) < 0.1)  # depends on the first, not on the class
+    good = np.where(y, rng.random(4000) < 0.7, rng.random(4000) < 0.02)
+    votes = np.column_stack([first, echo, good, rng.random(4000) < 0.1])
+    model = toxicity.LabelModel(votes)
+    given = np.where(rng.random(4000) < 0.1, ~y, y)  # labels with errors
+    model.maximise(given.astype(float))
+    assert model.parent[1] == 0 or model.parent[0] == 1
+    post = model.posterior(votes)
+    for k in range(50):
+        joint = []
+        for c, p in ((0, 1 - model.prior), (1, model.prior)):
+            for i, up in enumerate(model.parent):
+                u = int(votes[k][up]) if up >= 0 else 0
+                p *= model.table[c, i, u] if votes[k][i] else 1 - model.table[c, i, u]
+            joint.append(p)
+        assert abs(post[k] - joint[1] / sum(joint)) < 1e-9
+    # the tables are the rates of pairs
+    for i, up in enumerate(model.parent):
+        for c in (0, 1):
+            for u in (0, 1):
+                at = (given == c) & (votes[:, up] == u if up >= 0 else True)
+                assert abs(model.table[c, i, u] - votes[at, i].mean()) < 0.01
+    assert ((post > 0.5) == y).mean() > (given == y).mean()
+
+
+def test_classes_sum_to_all_votes():
+    votes = np.random.default_rng(3).random((300, 3)) < 0.4
+    model = toxicity.LabelModel(votes)
+    model.maximise(np.arange(300) % 3 / 2)
+    grid = np.array([[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)], dtype=bool)
+    assert abs(np.exp(model.log_joint(grid)).sum() - 1) < 1e-9
+
+
+def test_training_rows_alone_teach(spark, data):
+    """Labels of held-out rows change nothing."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    turned = labels.selectExpr("doc_id", "quality", "case when crc32(cast(doc_id as string)) % 5 = 0 then 1 - toxic else toxic end as toxic")
+    one, two = ({r["doc_id"]: r["score"] for r in toxicity.score(spark, docs, x).collect()} for x in (labels, turned))
+    assert one == two
