@@ -17,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op1_minhash_near_dedup": near_dedup.ORACLE,
     "op2_topk_search": vector_search.ORACLE,
+    "op3_fingerprints": spotsigs.ORACLE,
     "op6_secret_scans": secrets.ORACLE,
     "op9_url_filters": url_rules.ORACLE,
 }
