@@ -37,7 +37,7 @@ BANDS, ROWS, BATCH = 24, 4, 32
 HASHES = BANDS * ROWS
 MISS = 1e-5
 #: Members of one side of a block, and of one side of what is compared at once.
-BLOCK, CHUNK = 1024, 256
+BLOCK, CHUNK = 512, 256
 #: Bits of the filter that keeps texts out of the verification's shuffle, at most, and for each wanted id. With more ids than it serves, a join picks the texts.
 FILTER_BITS, BITS_AN_ID = 1 << 27, 16
 _random = np.random.default_rng(20240607)
