@@ -27,8 +27,8 @@ BINS = 16384
 LARGE = 512
 #: Parts of a group that fits no shard, for each shard that it would fill.
 PARTS = 4
-#: Rows that one task numbers at once.
-CELL_ROWS = 262_144
+#: Rows that one task numbers at once, at most; in a small corpus 1/CELLS of it, but at least LEAST_CELL.
+CELL_ROWS, CELLS, LEAST_CELL = 262_144, 512, 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,7 +93,8 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, id_col: str =
             break
         for k in np.flatnonzero(over):  # it found room among crumbs, but not among the true items
             parts[found[k]["item"] - bins] = n_parts[found[k]["item"] - bins]
-    subs = [(x["item"], x["part"], int(s), -(-x["r"] // CELL_ROWS)) for x, s in zip(found, at)]
+    cell_rows = min(CELL_ROWS, max(LEAST_CELL, n_rows // CELLS))
+    subs = [(x["item"], x["part"], int(s), -(-x["r"] // cell_rows)) for x, s in zip(found, at)]
     cells = rows.join(F.broadcast(spark.createDataFrame(subs, "item int, part int, shard int, subs long")), ["item", "part"])
     cells = cells.withColumn("sub", F.pmod(F.xxhash64("key", "doc_id"), F.col("subs")).cast("int"))
     offsets, filled = [], [0] * shards
