@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -84,3 +86,76 @@ def test_large_vectors_stay(spark):
     assert run(spark, rows, {1}, 2) == brute(rows, {1}, 2)
     with pytest.raises(Exception, match="too large for a long"):
         run(spark, rows, {4}, 2)
+
+
+def best_of(ids, values, at, k, rows=150):
+    digits, best = vs.Digits(ids[at], values[at]), vs.Best(len(at), k)
+    for i in range(0, len(ids), rows):
+        vs.meet(vs.Levels(ids[i : i + rows], values[i : i + rows]), digits, best)
+    return [[(int(i), int(s)) for i, s in zip(a, b) if np.isfinite(s)] for a, b in zip(best.ids, best.scores)]
+
+
+def tables():
+    rng = np.random.default_rng(5)
+    for width in (1, 7, 8, 12, 65):
+        yield rng.normal(0, 32, (400, width))
+    near = rng.normal(0, 32, (8, 64))[rng.integers(0, 8, 400)]
+    yield near + rng.normal(0, 2, near.shape)  # clusters
+    yield near  # copies
+    yield rng.normal(900, 5, (400, 16))  # far from zero
+    yield rng.normal(0, 1, (400, 16)) * 2.0 ** rng.integers(0, 20, (400, 1))  # some rows much longer than others
+    yield rng.normal(0, 1, (400, 16)) * 2.0 ** rng.integers(0, 20, 16)  # some components much wider
+    yield np.where(rng.random((400, 64)) < 0.03, rng.normal(0, 99, (400, 64)), 0)  # mostly zeros
+    yield np.zeros((400, 3))
+    yield np.full((400, 3), -7.0)
+    yield rng.integers(-1, 2, (400, 5))  # many ties
+
+
+@pytest.mark.parametrize("number", range(14))
+def test_levels_equal_brute_force(number):
+    values = np.floor(list(tables())[number]).astype(np.int64)
+    ids = np.random.default_rng(number).permutation(400)
+    ids[:20] = ids[20:40]  # repeated ids
+    at = np.arange(0, 400, 9)
+    for k in (1, 5, 500):
+        scores = values[at] @ values.T
+        want = [sorted((-int(s), int(j)) for s, j in zip(scores[n], ids) if j != ids[q])[:k] for n, q in enumerate(at)]
+        assert best_of(ids, values, at, k) == [[(j, -s) for s, j in w] for w in want]
+
+
+def test_small_and_wide_rows_meet(spark, monkeypatch):
+    monkeypatch.setattr(vs, "ROWS", 64)
+    monkeypatch.setattr(vs, "TABLE_MB", 0)  # one word of rows at a time
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(0, 2.0**20 if k % 40 == 3 else 1, 12)]) for k in range(300)]
+    queries = {0, 3, 43, 44, 299}
+    assert run(spark, rows, queries, 5) == brute(rows, queries, 5)
+    assert run(spark, [(k, []) for k in range(9)], {2}, 3) == [(2, 1, 0, 0), (2, 2, 1, 0), (2, 3, 3, 0)]
+
+
+def test_few_scores_are_exact_and_queries_are_added_together(monkeypatch):
+    rng = np.random.default_rng(2)
+    values = np.floor(rng.normal(0, 32, (20_000, 64))).astype(np.int64)
+    ids, at, looked = np.arange(20_000), np.arange(0, 20_000, 100), []
+    scores = vs.Levels.scores
+    monkeypatch.setattr(vs.Levels, "scores", lambda *a: looked.append(len((out := scores(*a))[0])) or out)
+    start = time.thread_time()
+    found = best_of(ids, values, at, 5, 4096)
+    took = time.thread_time() - start
+    assert sum(looked) < 0.2 * len(ids) * len(at)
+    # the same by all slices of one query at a time, for some queries and a fifth of the rows
+    block = vs.Block(ids[:4096], values[:4096])
+    start = time.thread_time()
+    for q in at[:20]:
+        block.top(q, values[q], 5)
+    assert took < (time.thread_time() - start) * len(at) / 20 * len(ids) / 4096 / 3
+    exact = values[at] @ values.T
+    exact[np.arange(len(at)), at] = -(1 << 60)
+    assert [[s for _, s in hits] for hits in found] == (-np.sort(-exact, axis=1)[:, :5]).tolist()
+
+
+def test_no_copies_are_shuffled(spark):
+    df = frame(spark, [(k, [float(k)]) for k in range(9)])
+    plan = vs.top_k(spark, df, df)._jdf.queryExecution().executedPlan().toString()
+    pair = plan[plan.index("CartesianProduct") :]
+    assert "Generate" not in pair and "Join" not in pair
