@@ -38,6 +38,8 @@ ROWS, QUERIES, DROPPED, KEPT = 4096, 4096, 1, 12
 LEAST_ROWS, MOST_ROWS = 2 * ROWS, 64 * ROWS
 #: Bits of a query's digits, queries whose slices are added at once, and attributes and MB of the tables of sums.
 DIGIT, AT_ONCE, TOGETHER, TABLE_MB = 5, 32, 8, 32
+#: Components that are multiplied at once, which fit a core's cache.
+SCORED = 1 << 16
 
 
 def whole_numbers(rows: np.ndarray, scale: int) -> np.ndarray:
@@ -231,17 +233,18 @@ class Levels:
 
     def sums(self, places: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices (queries by words) of the sums of digits by levels, more by a constant, and that constant."""
-        found = [np.take(t, places, axis=0) for t in self.tables]
-        while len(found[0]) > 1:
-            half = len(found[0]) // 2
-            total = add([f[:half] for f in found], [f[half : 2 * half] for f in found])
-            if len(found[0]) % 2:
-                total = [np.concatenate([t, f[2 * half :]]) for t, f in zip(total, [*found, np.zeros_like(found[0])])]
-            found = total
-        # the highest bit of a digit counts negative: its complement is added
-        total = [~f[0, -1] for f in found]
-        for j in range(DIGIT - 2, -1, -1):
-            total = [found[0][0, j], *add([f[0, j] for f in found[1:]], total)]
+        total: list = []
+        for j in range(DIGIT - 1, -1, -1):  # a bit at a time, so that all of it fits a core's cache
+            found = [np.take(t, places[:, j], axis=0) for t in self.tables]
+            while len(found[0]) > 1:
+                half = len(found[0]) // 2
+                pairs = add([f[:half] for f in found], [f[half : 2 * half] for f in found])
+                if len(found[0]) % 2:
+                    pairs = [np.concatenate([t, f[2 * half :]]) for t, f in zip(pairs, [*found, np.zeros_like(found[0])])]
+                found = pairs
+            found = [f[0] for f in found]
+            # the highest bit of a digit counts negative: its complement is added
+            total = [found[0], *add(found[1:], total)] if total else [~f for f in found]
         return total, (1 << DIGIT - 1) * ((1 << len(found)) - 1)
 
     def reached(self, slices: list[np.ndarray], floors: np.ndarray) -> np.ndarray:
@@ -270,7 +273,9 @@ class Levels:
         other = self.ids[r] != queries.ids[q]
         q, r = q[other], r[other]
         x, y = (self.short, queries.short) if short else (self.exact, queries.exact)
-        return q, self.ids[r], np.einsum("ij,ij->i", x[r], y[q]).astype(np.float64)
+        few = max(1, SCORED // x.shape[1])
+        scores = [np.einsum("ij,ij->i", x[r[i : i + few]], y[q[i : i + few]]) for i in range(0, len(r), few)]
+        return q, self.ids[r], np.concatenate([np.zeros(0), *scores])
 
 
 class Best:
